@@ -10,9 +10,9 @@ from textassay.operators import metrics, splits
 from textassay.operators.tfidf import l2_normalise
 from textassay.plans import classifiers, evaluation, projection, tuning
 from textassay.plans.features import SELECTED_WIDTH, fit_text_features, selected_terms, vectors
-from textassay.session import materialise, scratch_path
+from textassay.session import materialise, scratch_path, shared_dir
 from textassay.sources import features as feature_files
-from textassay.sources.reports import training_history
+from textassay.sources.reports import training_history, write_report
 
 
 def split_vectors(spark, sf_dir, **kwargs):
@@ -25,41 +25,53 @@ def split_vectors(spark, sf_dir, **kwargs):
 
 
 def fitted_regression(spark, sf_dir):
-    model, path = split_vectors(spark, sf_dir)
-    train = feature_files.load_features(spark, path, "train")
-    return model, path, classifiers.logistic_regression(train.count()).fit(train)
+    """The regression on its feature table, fitted once per application and folder."""
+    root = f"{shared_dir(spark)}/textassay/models-{spark.sparkContext.applicationId}"
+    config = {"model": "logistic_regression", "c": 1.0, "max_iter": 200, "data": sf_dir}
+
+    def fit() -> PipelineModel:
+        features, path = split_vectors(spark, sf_dir)
+        train = feature_files.load_features(spark, path, "train")
+        fitted = classifiers.logistic_regression(train.count()).fit(train)
+        write_report(training_history(spark, fitted), history_path(root, config))
+        return PipelineModel([*features.stages, fitted])
+
+    return classifiers.load_or_fit(spark, root, config, fit), history_path(root, config)
+
+
+def history_path(root: str, config: dict) -> str:
+    return f"{classifiers.model_path(root, config)}-history"
+
+
+def held_out(spark, sf_dir):
+    return split_labelled(spark, sf_dir).where("split <> 'train'")
 
 
 @query("logistic_regression")
 def logistic_regression(spark, sf_dir):
     """Validation and test measures of the TF-IDF logistic regression."""
-    _, path, fitted = fitted_regression(spark, sf_dir)
-    held_out = feature_files.load_features(spark, path).where("split <> 'train'")
-    scores = evaluation.score(fitted, held_out, ("doc_id", "split", "label"))
+    model, _ = fitted_regression(spark, sf_dir)
+    scores = evaluation.score(model, held_out(spark, sf_dir), ("doc_id", "split", "label"))
     return metrics.binary_summary(scores, ["split"])
 
 
 @query("training_history")
 def history(spark, sf_dir):
-    return training_history(spark, fitted_regression(spark, sf_dir)[2])
+    _, path = fitted_regression(spark, sf_dir)
+    return spark.read.schema("iteration int, objective double").json(path)
 
 
 @query("regression_scores")
 def regression_scores(spark, sf_dir):
-    """Class and probability of every labelled document, from a reloaded model."""
-    features, path, fitted = fitted_regression(spark, sf_dir)
-    root = scratch_path(spark, "models")
-    config = {"model": "logistic_regression", "c": 1.0, "max_iter": 200}
-    whole = PipelineModel([*features.stages, fitted])
-    classifiers.load_or_fit(spark, root, config, lambda: whole)
-    reloaded = classifiers.load_or_fit(spark, root, config, lambda: whole)
-    return evaluation.score(reloaded, labelled(spark, sf_dir))
+    """Class and probability of every labelled document, from the saved model."""
+    model, _ = fitted_regression(spark, sf_dir)
+    return evaluation.score(model, labelled(spark, sf_dir))
 
 
 @query("regression_evaluation")
 def regression_evaluation(spark, sf_dir):
-    _, path, fitted = fitted_regression(spark, sf_dir)
-    return evaluation.evaluate_model(fitted, feature_files.load_features(spark, path, "test"))
+    model, _ = fitted_regression(spark, sf_dir)
+    return evaluation.evaluate_model(model, held_out(spark, sf_dir).where("split = 'test'"))
 
 
 @query("forest_importance")
@@ -91,10 +103,11 @@ def tree_count_sweep(spark, sf_dir):
 
 @query("learning_curve")
 def learning_curve(spark, sf_dir):
+    """F1 of the forest by share of the training rows, over five folds."""
     rows = materialise(splits.folds(labelled(spark, sf_dir)), "fold_text")
-    model = fit_text_features(rows)
+    model = fit_text_features(rows, SELECTED_WIDTH, selected=True)
     stored = materialise(vectors(model, rows, "fold", "step", "label"), "fold_vectors")
-    return tuning.learning_curve(stored, classifiers.logistic_regression(rows.count()))
+    return tuning.learning_curve(stored, classifiers.random_forest(), parallelism=8)
 
 
 def split_words(spark, sf_dir):

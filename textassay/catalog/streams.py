@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textassay.catalog.base import labelled, query, table
+from textassay.catalog.base import query, table
+from textassay.catalog.models import fitted_regression
 from textassay.functions import posts as fn
-from textassay.plans.classifiers import logistic_regression
-from textassay.plans.features import fit_text_features, vectors
-from textassay.session import materialise, scratch_path
+from textassay.session import scratch_path
 from textassay.streaming import posts
 
 HEX = "md5(CAST(doc_id AS VARCHAR))"
@@ -121,11 +120,7 @@ def published_once(spark, sf_dir):
 @query("scored_stream")
 def scored_stream(spark, sf_dir):
     """The same stream through a fitted text classifier."""
-    train = labelled(spark, sf_dir)
-    features = fit_text_features(train)
-    rows = materialise(vectors(features, train, "label"), "train_vectors")
-    classifier = logistic_regression(rows.count(), max_iter=50).fit(rows)
-    model = type(features)([*features.stages, classifier])
+    model, _ = fitted_regression(spark, sf_dir)
     out = scratch_path(spark, "stream")
     raw = posts.read_post_files(spark, post_files(spark, sf_dir))
     for running in posts.score_posts(raw, posts.model_classifier(model), out):

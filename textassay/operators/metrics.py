@@ -148,10 +148,12 @@ def classification_report(df: DataFrame) -> DataFrame:
     return per_class.drop("hit").unionByName(averages)
 
 
-def rmse(df: DataFrame, label: str = "label", prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.sqrt(F.avg(F.pow(F.col(prob) - F.col(label), 2))).alias("rmse")
-    )
+def rmse_column(prob: Column, label: str = "label") -> Column:
+    return F.sqrt(F.avg(F.pow(prob - F.col(label), F.lit(2.0))))
+
+
+def rmse(df: DataFrame, prob: str = "prob", by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(rmse_column(F.col(prob)).alias("rmse"))
 
 
 def fold_summary(scores: DataFrame, by: str = "step", value: str = "f1") -> DataFrame:

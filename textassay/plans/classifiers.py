@@ -114,16 +114,17 @@ def _is_saved(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def model_path(root: str, config: dict) -> str:
+    """Holds a digest of ``config``: a model of other settings is never picked up."""
+    digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
+    return f"{root.rstrip('/')}/model-{digest}"
+
+
 def load_or_fit(
     spark: SparkSession, root: str, config: dict, fit: Callable[[], PipelineModel]
 ) -> PipelineModel:
-    """The saved model of this configuration, or a new one, fitted and saved.
-
-    The path holds a digest of ``config``, so that a model of other settings is
-    never picked up.
-    """
-    digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
-    path = f"{root.rstrip('/')}/model-{digest}"
+    """The saved model of this configuration, or a new one, fitted and saved."""
+    path = model_path(root, config)
     if not _is_saved(spark, path):
         fit().write().overwrite().save(path)
     return PipelineModel.load(path)
