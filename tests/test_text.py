@@ -85,3 +85,18 @@ def test_repair_runs_python_only_where_needed(spark):
     df = spark.createDataFrame([("plain",)], "s string").select(tx.repair_text(F.col("s")))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize(
+    "given, expected",
+    [
+        (["b", "a", "b", "b"], [("a", 1), ("b", 3)]),
+        (["a"], [("a", 1)]),
+        ([], []),
+        (["x", "x"], [("x", 2)]),
+    ],
+)
+def test_count_repeats(spark, given, expected):
+    df = spark.createDataFrame([(given,)], "w array<string>")
+    got = df.select(tx.count_repeats(F.col("w")).alias("r")).first()["r"]
+    assert [tuple(r) for r in got] == expected

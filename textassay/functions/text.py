@@ -96,6 +96,36 @@ def ngrams(tokens: Column, low: int = 1, high: int = 3) -> Column:
     return bound[0]
 
 
+def count_repeats(items: Column) -> Column:
+    """Array of ``(term, tf)``: the distinct items of an array and how often each occurs.
+
+    Sorts the array and measures its runs, so that counting inside one document
+    needs no shuffle.
+    """
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(
+            F.transform(
+                ordered,
+                lambda x, i: F.when((i == 0) | (x != F.get(ordered, i - 1)), i),
+            ),
+            lambda i: i.isNotNull(),
+        )
+        counted = F.transform(
+            F.array(starts),
+            lambda at: F.transform(
+                at,
+                lambda i, k: F.struct(
+                    F.get(ordered, i).alias("term"),
+                    (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).alias("tf"),
+                ),
+            ),
+        )
+        return counted[0]
+
+    return F.transform(F.array(F.sort_array(items)), runs)[0]
+
+
 def sequence_words(c: Column) -> Column:
     """Lower, blank out the filter characters, split on blanks."""
     blanked = F.translate(F.lower(c), SEQUENCE_FILTERS, " " * len(SEQUENCE_FILTERS))

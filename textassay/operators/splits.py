@@ -29,22 +29,28 @@ def share(n: Column, ratio: float) -> Column:
     return F.call_function("div", n * F.lit(r.numerator), F.lit(r.denominator))
 
 
+def stored_keys(df: DataFrame, stratum: str, key: str) -> DataFrame:
+    """Key and stratum of every row, stored: the passes that look for the cuts
+    read these two narrow columns and not the text behind them again."""
+    return materialise(df.select(stratum, key), "keys")
+
+
 def hash_cuts(
-    df: DataFrame,
+    keys: DataFrame,
     stratum: str,
     ranks: Callable[[Column], Sequence[Column]],
     key: str = "doc_id",
     seed: int = 42,
     bucket_chars: int = 4,
 ) -> DataFrame:
-    """Per stratum, the hash-and-key at each rank in ``ranks(n)``.
+    """Per stratum, the hash and key of the row at each rank in ``ranks(n)``.
 
-    One row per stratum with an array ``cuts`` of ``(rank, hash, key)`` structs;
-    a rank of 0 gives a cut below every row. ``bucket_chars`` hex digits of the
-    hash make the bucket, 16 ** bucket_chars buckets per stratum. Only the key
-    and the stratum column are read from ``df``.
+    One row per stratum with a map ``cuts`` from the number of the cut to its
+    ``(hash, key)``; a rank of 0, or past the last row, has no entry.
+    ``bucket_chars`` hex digits of the hash make a bucket, 16 ** bucket_chars
+    buckets per stratum. ``keys`` (see :func:`stored_keys`) is read twice.
     """
-    rows = df.select(stratum, F.col(key).alias("_key"), hash_of(key, seed).alias("_hash"))
+    rows = keys.select(stratum, F.col(key).alias("_key"), hash_of(key, seed).alias("_hash"))
     rows = rows.withColumn("_bucket", F.substring("_hash", 1, bucket_chars))
     per_bucket = rows.groupBy(stratum, "_bucket").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(stratum).orderBy("_bucket")
@@ -110,7 +116,8 @@ def stratified_split(
     for r in ratios[:-1]:
         upto += Fraction(str(r))
         bounds.append(float(upto))
-    cuts = hash_cuts(df, stratum, lambda n: [share(n, b) for b in bounds], key, seed)
+    keys = stored_keys(df, stratum, key)
+    cuts = hash_cuts(keys, stratum, lambda n: [share(n, b) for b in bounds], key, seed)
     numbered = with_cut_number(df, cuts, stratum, len(bounds), "_no", key, seed)
     split = F.lit(names[-1])
     for i in reversed(range(len(bounds))):
@@ -132,9 +139,10 @@ def balanced_sample(
     seed: int = 42,
 ) -> DataFrame:
     """The same number of rows of every class: half the size or the smallest class."""
-    smallest = df.groupBy(stratum).count().agg(F.min("count")).first()[0] or 0
+    keys = stored_keys(df, stratum, key)
+    smallest = keys.groupBy(stratum).count().agg(F.min("count")).first()[0] or 0
     take = min(sample_size // 2, smallest)
-    cuts = hash_cuts(df, stratum, lambda n: [F.lit(take)], key, seed)
+    cuts = hash_cuts(keys, stratum, lambda n: [F.lit(take)], key, seed)
     numbered = with_cut_number(df, cuts, stratum, 1, "_no", key, seed)
     return numbered.where(F.col("_no") == 0).drop("_no")
 
@@ -154,7 +162,7 @@ def folds(
     stratum. Both are columns, so no row is copied per fold or size.
     """
     cuts = hash_cuts(
-        df,
+        stored_keys(df, stratum, key),
         stratum,
         lambda n: [F.call_function("div", n * j, F.lit(n_sizes)) for j in range(1, n_sizes)],
         key,

@@ -12,24 +12,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textassay.functions.text import ngrams, terms
+from textassay.functions.text import count_repeats, ngrams, terms
 from textassay.operators.joins import hot_keys, lookup_join
 from textassay.session import materialise
 
 
-def document_terms(df: DataFrame, text: str = "text", key: str = "doc_id", **kwargs) -> DataFrame:
-    """``df`` with its n-gram array ``terms`` in place of the text."""
-    grams = ngrams(terms(F.col(text), **kwargs))
-    return df.withColumn("terms", grams).drop(text)
+def document_terms(df: DataFrame, text: str = "text", **kwargs) -> DataFrame:
+    """``df`` with its filtered word array ``terms`` in place of the text.
+
+    Only the words are kept; their n-grams, several times as large, are formed
+    where they are counted.
+    """
+    return df.withColumn("terms", terms(F.col(text), **kwargs)).drop(text)
 
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, term, tf)``. Tasks combine a document's repeats before the shuffle."""
-    return (
-        docs.select(key, F.explode("terms").alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    """``(key, term, tf)``, counted inside each row: no shuffle."""
+    return docs.select(key, F.inline(count_repeats(ngrams(F.col("terms")))))
 
 
 @dataclass(frozen=True)
@@ -47,7 +46,7 @@ def document_frequencies(docs: DataFrame, min_df: int = 1) -> DataFrame:
     """
     n = docs.agg(F.count("*").alias("n")).scalar()
     counted = (
-        docs.select(F.explode(F.array_distinct("terms")).alias("term"))
+        docs.select(F.explode(F.array_distinct(ngrams(F.col("terms")))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("df"))
         .where(F.col("df") >= min_df)
