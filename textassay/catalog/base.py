@@ -19,6 +19,7 @@ from textassay.functions.text import (
 )
 from textassay.operators.joins import attach_labels
 from textassay.operators.splits import stratified_split
+from textassay.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents", *columns: str) -> DataFrame:
+    """A table of texts about to be worked on row by row."""
+    key = {"documents": "doc_id", "pages": "page_id"}[name]
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*columns) if columns else df, key)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text, label)``: documents with their quality label."""
     return attach_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -15,6 +15,7 @@ from textassay.catalog.base import (
     split_labelled,
     sql_text,
     table,
+    texts,
     words_sql,
 )
 from textassay.catalog.splits import FOLDS
@@ -431,5 +432,5 @@ FROM long l JOIN q ON l.lang = q.lang AND l.measure = q.measure
 GROUP BY l.lang, l.measure, q1, median, q3""",
 )
 def box_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "text")
     return profiles.box_stats(profiles.style_counts(docs), "lang")

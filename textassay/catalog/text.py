@@ -23,6 +23,7 @@ from textassay.catalog.base import (
     strip_tags_sql,
     table,
     terms_sql,
+    texts,
     words_sql,
 )
 from textassay.functions import labels as lab
@@ -98,7 +99,7 @@ SELECT lang, count(*) AS rows_read, count(*) FILTER (WHERE cleaned <> '') AS row
   count(*) FILTER (WHERE cleaned = '') AS rows_emptied FROM cleaned GROUP BY lang""",
 )
 def emptied_by_cleaning(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     cleaned = docs.select("lang", tx.clean_text(F.col("text")).alias("cleaned"))
     empty = F.trim("cleaned") == ""
     return cleaned.groupBy("lang").agg(
@@ -148,14 +149,14 @@ def label_names(spark, sf_dir):
 
 @query("strip_tags", f"SELECT page_id, {strip_tags_sql('html')} AS bare FROM pages")
 def strip_tags(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("bare"))
+    return texts(spark, sf_dir, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("bare"))
 
 
 @query(
     "strip_punctuation", f"SELECT doc_id, {strip_punctuation_sql('text')} AS bare FROM documents"
 )
 def strip_punctuation(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", tx.strip_punctuation(F.col("text")).alias("bare")
     )
 
@@ -167,7 +168,7 @@ def strip_punctuation(spark, sf_dir):
     + ", '', 'g') AS bare FROM documents",
 )
 def lower_strip(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", tx.lower_strip(F.col("text")).alias("bare")
     )
 
@@ -177,7 +178,7 @@ def lower_strip(spark, sf_dir):
     f"SELECT doc_id, array_to_string({words_sql('text')}, ' ') AS squeezed FROM documents",
 )
 def squeeze_spaces(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", tx.squeeze_spaces(F.col("text")).alias("squeezed")
     )
 
@@ -190,7 +191,7 @@ FROM documents""",
 )
 def drop_stop_words(spark, sf_dir):
     kept = tx.drop_words(tx.words(F.lower("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(kept, " ").alias("kept"))
+    return texts(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("kept"))
 
 
 @query(
@@ -198,7 +199,7 @@ def drop_stop_words(spark, sf_dir):
     f"SELECT doc_id, array_to_string({clean_words_sql('text')}, ' ') AS cleaned FROM documents",
 )
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", tx.clean_text(F.col("text")).alias("cleaned")
     )
 
@@ -208,7 +209,7 @@ def clean_text(spark, sf_dir):
     f"SELECT page_id, array_to_string({clean_words_sql('html')}, ' ') AS cleaned FROM pages",
 )
 def clean_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         "page_id", tx.clean_text(F.col("html")).alias("cleaned")
     )
 
@@ -220,7 +221,7 @@ def clean_pages(spark, sf_dir):
 def repair_text(spark, sf_dir):
     """Break every text (UTF-8 read as Latin-1), then repair it."""
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    docs = table(spark, sf_dir, "documents").select("doc_id", broken.alias("broken"))
+    docs = texts(spark, sf_dir).select("doc_id", broken.alias("broken"))
     return docs.select("doc_id", tx.repair_text(F.col("broken")).alias("repaired"))
 
 
@@ -231,7 +232,7 @@ g AS (SELECT doc_id, CAST(len(w) AS INTEGER) AS n_terms, {ngrams_sql("w")} AS g
 SELECT doc_id, n_terms, CAST(len(g) AS INTEGER) AS n_grams, md5(array_to_string(g, '|')) AS digest FROM g""",
 )
 def term_ngrams(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("w", tx.terms(F.col("text")))
+    docs = texts(spark, sf_dir).withColumn("w", tx.terms(F.col("text")))
     docs = docs.select("doc_id", F.size("w").alias("n_terms"), tx.ngrams(F.col("w")).alias("g"))
     return docs.select(
         "doc_id",
@@ -247,7 +248,7 @@ def term_ngrams(spark, sf_dir):
   CAST(len({sequence_words_sql("text")}) AS INTEGER) AS length FROM documents""",
 )
 def sequence_words(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir).select(
         "doc_id", tx.sequence_words(F.col("text")).alias("w")
     )
     return docs.select("doc_id", F.array_join("w", " ").alias("words"), F.size("w").alias("length"))
@@ -264,7 +265,7 @@ def sequence_words(spark, sf_dir):
 FROM documents""",
 )
 def style_counts(spark, sf_dir):
-    return profiles.style_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return profiles.style_counts(texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 @query(

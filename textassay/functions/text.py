@@ -176,17 +176,18 @@ def _repair_rare() -> Callable[[Column], Column]:
     need no copy of this package.
     """
 
-    def byte_of(ch: str) -> bytes:
-        try:
-            return ch.encode("cp1252")
-        except UnicodeEncodeError:
-            return ch.encode("latin-1")
+    # cp1252 characters back to the byte they stand for; Latin-1 ones already match
+    one_byte = {
+        ord(bytes([b]).decode("cp1252")): b
+        for b in range(0x80, 0xA0)
+        if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)  # bytes cp1252 leaves undefined
+    }
 
     def undo_mojibake(line: str) -> str:
         # re-read as UTF-8 the bytes of text decoded with a one-byte table
         while not line.isascii():
             try:
-                better = b"".join(map(byte_of, line)).decode("utf-8")
+                better = line.translate(one_byte).encode("latin-1").decode("utf-8")
             except UnicodeError:
                 break
             line = better

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textassay.session import materialise, shuffle_partitions
+from textassay.session import materialise, shuffle_partitions, sized, spread
 
 
 def attach_labels(
@@ -17,7 +17,7 @@ def attach_labels(
     """Labelled text ``(doc_id, text, label)``; rows without text or label drop out."""
     right = labels.select(key, F.col(label).alias("label")).where(F.col("label").isNotNull())
     left = documents.select(key, "text").where(F.col("text").isNotNull())
-    return left.join(right, key)
+    return spread(left, key).join(right, key)
 
 
 def attach_text(predictions: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -54,14 +54,15 @@ def lookup_join(
     how: str = "inner",
     hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Join many rows to a table that is unique on ``key``.
+    """Join many rows to a stored table that is unique on ``key``.
 
+    A table small enough is broadcast, see :func:`textassay.session.sized`.
     With ``hot`` (see :func:`hot_keys`) the rows of a hot key are spread over
     its salts by the hash of ``spread_on``, and only the hot entries of
     ``table`` are repeated once per salt. All other keys keep salt 0.
     """
     if hot is None:
-        return rows.join(table, key, how)
+        return rows.join(sized(table), key, how)
     salts = F.coalesce("_salts", F.lit(1))
     left = rows.join(hot, key, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(spread_on), salts).cast("int")
@@ -69,4 +70,5 @@ def lookup_join(
     right = table.join(hot, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
-    return left.drop("_salts").join(right.drop("_salts"), [key, "_salt"], how).drop("_salt")
+    right = right.drop("_salts").hint("merge")
+    return left.drop("_salts").join(right, [key, "_salt"], how).drop("_salt")

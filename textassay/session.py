@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job of this library is planned with. Partition counts and
 # memory belong to the cluster and are left to spark-submit.
@@ -15,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # files are smaller than the rows read from them: judge a broadcast by the rows
+    "spark.sql.sources.fileCompressionFactor": "3.0",
 }
 
 
@@ -62,8 +65,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage onto storage that outlives an executor, and gives Catalyst
     the table's true size: a join against it is broadcast when the files fit
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffled when they do not. No
-    operator of the library carries a broadcast hint of its own.
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffled when they do not.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -73,3 +75,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sized(table: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``table`` with the join strategy its row count allows.
+
+    For joins whose other side is exploded: Catalyst does not know how many rows
+    an explode makes and would take that side for the small one. A stored table
+    of up to ``max_rows`` is broadcast, a larger one is sort-merge joined.
+    """
+    few = table.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(table) if few else table.hint("merge")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for per-row text work on an input of few splits.
+
+    A scan with at least as many splits as the cluster has cores is left alone,
+    so that large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
