@@ -30,6 +30,7 @@ from textassay.functions import labels as lab
 from textassay.functions import text as tx
 from textassay.operators import metrics, profiles, vocab
 from textassay.operators.joins import attach_labels
+from textassay.session import materialise
 
 
 def cleaned_sequences(df: DataFrame) -> DataFrame:
@@ -286,9 +287,9 @@ vocabulary AS (
 
 
 def _train_vocabulary(spark, sf_dir):
-    rows = cleaned_sequences(split_labelled(spark, sf_dir))
+    rows = materialise(cleaned_sequences(split_labelled(spark, sf_dir)), "split_words")
     vocabulary = vocab.build_vocabulary(rows.where("split = 'train'"))
-    return rows, vocabulary
+    return rows, vocab.store_vocabulary(vocabulary)
 
 
 @query("word_counts", f"WITH {TRAIN_WORDS} SELECT word, n FROM counted")
@@ -299,7 +300,8 @@ def word_counts(spark, sf_dir):
 
 @query("vocabulary", f"WITH {TRAIN_WORDS} SELECT word, n, idx FROM vocabulary")
 def vocabulary(spark, sf_dir):
-    return _train_vocabulary(spark, sf_dir)[1]
+    rows = cleaned_sequences(split_labelled(spark, sf_dir))
+    return vocab.build_vocabulary(rows.where("split = 'train'"))
 
 
 INDEXED = f"""{TRAIN_WORDS}, exploded AS (

@@ -47,7 +47,8 @@ def error_summary(df: DataFrame) -> DataFrame:
 def error_words(errors: DataFrame, k: int = 15) -> DataFrame:
     """Most frequent raw words of each error type: ``(error_type, rank, word, n)``."""
     counted = (
-        errors.select("error_type", F.explode(words(F.lower("text"))).alias("word"))
+        errors.select("error_type", F.explode_outer(words(F.lower("text"))).alias("word"))
+        .where(F.col("word").isNotNull())
         .groupBy("error_type", "word")
         .agg(F.count("*").alias("n"))
     )

@@ -28,7 +28,8 @@ def document_terms(df: DataFrame, text: str = "text", **kwargs) -> DataFrame:
 
 def term_frequencies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """``(key, term, tf)``, counted inside each row: no shuffle."""
-    return docs.select(key, F.inline(count_repeats(ngrams(F.col("terms")))))
+    counted = docs.select(key, F.inline_outer(count_repeats(ngrams(F.col("terms")))))
+    return counted.where(F.col("term").isNotNull())
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,8 @@ def document_frequencies(docs: DataFrame, min_df: int = 1) -> DataFrame:
     """
     n = docs.agg(F.count("*").alias("n")).scalar()
     counted = (
-        docs.select(F.explode(F.array_distinct(ngrams(F.col("terms")))).alias("term"))
+        docs.select(F.explode_outer(F.array_distinct(ngrams(F.col("terms")))).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.count("*").alias("df"))
         .where(F.col("df") >= min_df)

@@ -14,7 +14,10 @@ OOV, FIRST_INDEX = 1, 2  # 0 is padding
 
 
 def word_counts(df: DataFrame, words: str = "words") -> DataFrame:
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # The outer explode keeps Catalyst from adding a size(words) > 0 filter, which
+    # would compute the words of every row a second time.
+    exploded = df.select(F.explode_outer(words).alias("word")).where(F.col("word").isNotNull())
+    return exploded.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def build_vocabulary(df: DataFrame, words: str = "words") -> DataFrame:
@@ -33,7 +36,8 @@ def word_indices(
     hot_limit: int | None = None,
 ) -> DataFrame:
     """``(key, pos, word, idx)``; a word outside the vocabulary gets index 1."""
-    exploded = df.select(key, F.posexplode(words).alias("pos", "word"))
+    exploded = df.select(key, F.posexplode_outer(words).alias("pos", "word"))
+    exploded = exploded.where(F.col("word").isNotNull())
     hot = hot_keys(vocabulary, "word", "n", limit=hot_limit)
     table = vocabulary.select("word", F.col("idx").cast("int").alias("idx"))
     found = lookup_join(exploded, table, "word", key, "left", hot)
