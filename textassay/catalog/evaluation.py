@@ -117,7 +117,7 @@ FROM ranked WHERE rank <= 10""",
 )
 def error_examples(spark, sf_dir):
     wrong = errors.misclassified(scored(spark, sf_dir))
-    return errors.error_examples(joins.attach_text(wrong, table(spark, sf_dir, "documents")))
+    return errors.error_examples(wrong, table(spark, sf_dir, "documents"))
 
 
 @query(

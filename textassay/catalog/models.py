@@ -10,7 +10,7 @@ from textassay.operators import metrics, splits
 from textassay.operators.tfidf import l2_normalise
 from textassay.plans import classifiers, evaluation, projection, tuning
 from textassay.plans.features import SELECTED_WIDTH, fit_text_features, selected_terms, vectors
-from textassay.session import materialise, scratch_path, shared_dir
+from textassay.session import app_dir, materialise, scratch_path
 from textassay.sources import features as feature_files
 from textassay.sources.reports import training_history, write_report
 
@@ -26,7 +26,7 @@ def split_vectors(spark, sf_dir, **kwargs):
 
 def fitted_regression(spark, sf_dir):
     """The regression on its feature table, fitted once per application and folder."""
-    root = f"{shared_dir(spark)}/textassay/models-{spark.sparkContext.applicationId}"
+    root = f"{app_dir(spark)}/models"
     config = {"model": "logistic_regression", "c": 1.0, "max_iter": 200, "data": sf_dir}
 
     def fit() -> PipelineModel:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from textassay.functions.labels import excerpt
 from textassay.functions.text import words
+from textassay.operators.joins import attach_text
 from textassay.operators.metrics import ratio
 from textassay.operators.ordered import top_k
+from textassay.session import materialise
 
 
 def false_positives(df: DataFrame) -> DataFrame:
@@ -57,9 +59,16 @@ def error_words(errors: DataFrame, k: int = 15) -> DataFrame:
     )
 
 
-def error_examples(errors: DataFrame, n: int = 10, key: str = "doc_id") -> DataFrame:
-    """The first ``n`` rows of each error type, with a 200-character excerpt."""
-    first = top_k(errors, n, [F.asc(key)], ["error_type"])
-    return first.select(
+def error_examples(
+    errors: DataFrame, documents: DataFrame, n: int = 10, key: str = "doc_id"
+) -> DataFrame:
+    """The first ``n`` rows of each error type, with a 200-character excerpt.
+
+    The rows are chosen before any text is read: ``2 * n`` of them are stored
+    and meet the documents in a broadcast join.
+    """
+    first = top_k(errors.select("error_type", key, "prob"), n, [F.asc(key)], ["error_type"])
+    chosen = materialise(first, "examples")
+    return attach_text(chosen, documents, key).select(
         "error_type", "rank", key, "prob", excerpt(F.col("text")).alias("excerpt")
     )

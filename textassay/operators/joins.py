@@ -34,16 +34,16 @@ def hot_keys(
     ``4 * partitions`` hot keys and ``8 * partitions`` salted copies, whatever
     the data. ``None`` when there are no such keys.
     """
+    found = counts.agg(F.sum(weight).cast("long").alias("total"), F.max(weight).alias("top")).first()
     if limit is None:
-        total = counts.agg(F.sum(weight).cast("long")).first()[0] or 0
-        limit = max(1_000_000, total // (4 * shuffle_partitions(counts.sparkSession)))
-    hot = materialise(
-        counts.where(F.col(weight) > limit).select(
-            key, F.ceil(F.col(weight) / limit).cast("int").alias("_salts")
-        ),
-        "hot_keys",
+        parts = shuffle_partitions(counts.sparkSession)
+        limit = max(1_000_000, (found["total"] or 0) // (4 * parts))
+    if (found["top"] or 0) <= limit:
+        return None
+    salts = F.ceil(F.col(weight) / limit).cast("int")
+    return materialise(
+        counts.where(F.col(weight) > limit).select(key, salts.alias("_salts")), "hot_keys"
     )
-    return None if hot.isEmpty() else hot
 
 
 def lookup_join(

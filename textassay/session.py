@@ -55,9 +55,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textassay-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/textassay/{uuid.uuid4().hex}/{name}"
+    """A new, unused path in this application's part of the shared folder.
+
+    Everything an application leaves behind is below one folder named after it,
+    which can be removed once the application's results have been written.
+    """
+    return f"{app_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
