@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textassay.operators import splits, tfidf
 from textassay.plans import classifiers, evaluation, preprocess, projection, tuning
-from textassay.plans.features import fit_text_features, selected_terms, vectors
+from textassay.plans.features import fit_vectors, selected_terms
 
 
 @pytest.fixture(scope="module")
@@ -23,10 +23,12 @@ def claims(spark):
 
 
 def test_vectors_equal_the_long_form(spark, claims):
-    model = fit_text_features(claims, 1000, selected=True)
+    model, stored = fit_vectors(claims, ["doc_id"], width=1000, selected=True)
     names = selected_terms(model)
+    again = model.transform(claims).select("doc_id", "features")
+    assert sorted(map(str, stored.collect())) == sorted(map(str, again.collect()))
     wide = {}
-    for r in vectors(model, claims, "doc_id").collect():
+    for r in stored.collect():
         for j, v in zip(r["features"].indices, r["features"].values):
             wide[(r["doc_id"], names[j])] = round(float(v), 9)
     docs = tfidf.document_terms(claims)
@@ -41,8 +43,8 @@ def test_regression_learns_and_reloads(spark, claims, tmp_path):
 
     def fit():
         calls.append(1)
-        features = fit_text_features(train, 1 << 10)
-        fitted = classifiers.logistic_regression(train.count()).fit(vectors(features, train, "label"))
+        features, rows = fit_vectors(train, ["label"], width=1 << 10)
+        fitted = classifiers.logistic_regression(train.count()).fit(rows)
         return PipelineModel([*features.stages, fitted])
 
     root = str(tmp_path)
@@ -59,8 +61,9 @@ def test_regression_learns_and_reloads(spark, claims, tmp_path):
 
 def test_forest_sweep_and_importance(spark, claims):
     rows = splits.holdout_split(claims)
-    features = fit_text_features(rows, 64, selected=True)
-    stored = vectors(features, rows, "doc_id", "split", "label")
+    features, stored = fit_vectors(
+        rows, ["doc_id", "split", "label"], F.col("split") == "train", 64, selected=True
+    )
     train, rest = stored.where("split = 'train'"), stored.where("split = 'val'")
     sweep = {r["trees"]: r["rmse"] for r in tuning.tree_count_sweep(train, rest, (2, 5), 4).collect()}
     assert set(sweep) == {2, 5} and all(0 <= v < 0.5 for v in sweep.values())
@@ -101,9 +104,8 @@ def test_minimum_count_keeps_the_limit(spark):
 
 def test_learning_curve(spark, claims):
     rows = splits.folds(claims)
-    features = fit_text_features(rows, 64, selected=True)
-    stored = vectors(features, rows, "fold", "step", "label").cache()
-    curve = tuning.learning_curve(stored, classifiers.logistic_regression(120), 2, 10)
+    _, stored = fit_vectors(rows, ["fold", "step", "label"], width=64, selected=True)
+    curve = tuning.learning_curve(stored.cache(), classifiers.logistic_regression(120), 2, 10)
     got = {r["step"]: r["validation_mean"] for r in curve.collect()}
     assert set(got) == set(range(1, 11)) and got[10] > 0.9
 

@@ -9,18 +9,21 @@ from textassay.catalog.base import labelled, query, split_labelled, table
 from textassay.operators import metrics, splits
 from textassay.operators.tfidf import l2_normalise
 from textassay.plans import classifiers, evaluation, projection, tuning
-from textassay.plans.features import SELECTED_WIDTH, fit_text_features, selected_terms, vectors
+from textassay.plans.features import SELECTED_WIDTH, fit_vectors, selected_terms
 from textassay.session import app_dir, materialise, scratch_path
 from textassay.sources import features as feature_files
 from textassay.sources.reports import training_history, write_report
 
 
+IN_TRAIN = F.col("split") == "train"
+
+
 def split_vectors(spark, sf_dir, **kwargs):
-    """Feature model and stored ``(doc_id, split, label, features)``, split as folder."""
-    rows = materialise(split_labelled(spark, sf_dir), "split_text")
-    model = fit_text_features(rows.where("split = 'train'"), **kwargs)
+    """Text model and the path of its feature table, one folder per split."""
+    keep = ("doc_id", "split", "label")
+    model, rows = fit_vectors(split_labelled(spark, sf_dir), keep, IN_TRAIN, **kwargs)
     path = scratch_path(spark, "vectors")
-    feature_files.write_features(vectors(model, rows, "doc_id", "split", "label"), path)
+    feature_files.write_features(rows, path)
     return model, path
 
 
@@ -93,21 +96,19 @@ def forest_evaluation(spark, sf_dir):
 @query("tree_count_sweep")
 def tree_count_sweep(spark, sf_dir):
     """RMSE by number of trees, trained on a fifth of the rows."""
-    rows = materialise(splits.holdout_split(labelled(spark, sf_dir)), "holdout_text")
-    model = fit_text_features(rows.where("split = 'train'"), SELECTED_WIDTH, selected=True)
-    stored = materialise(vectors(model, rows, "doc_id", "split", "label"), "holdout_vectors")
-    return tuning.tree_count_sweep(
-        stored.where("split = 'train'"), stored.where("split = 'val'")
-    )
+    rows = splits.holdout_split(labelled(spark, sf_dir))
+    keep = ("doc_id", "split", "label")
+    _, vectors = fit_vectors(rows, keep, IN_TRAIN, SELECTED_WIDTH, selected=True)
+    return tuning.tree_count_sweep(vectors.where(IN_TRAIN), vectors.where(~IN_TRAIN))
 
 
 @query("learning_curve")
 def learning_curve(spark, sf_dir):
     """F1 of the forest by share of the training rows, over five folds."""
-    rows = materialise(splits.folds(labelled(spark, sf_dir)), "fold_text")
-    model = fit_text_features(rows, SELECTED_WIDTH, selected=True)
-    stored = materialise(vectors(model, rows, "fold", "step", "label"), "fold_vectors")
-    return tuning.learning_curve(stored, classifiers.random_forest(), parallelism=8)
+    rows = splits.folds(labelled(spark, sf_dir))
+    keep = ("fold", "step", "label")
+    _, vectors = fit_vectors(rows, keep, width=SELECTED_WIDTH, selected=True)
+    return tuning.learning_curve(vectors, classifiers.random_forest(), parallelism=8)
 
 
 def split_words(spark, sf_dir):

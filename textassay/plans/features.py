@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (
     IDF,
@@ -15,10 +17,11 @@ from pyspark.ml.feature import (
     StopWordsRemover,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from textassay.functions.stopwords import ENGLISH
 from textassay.functions.text import TERM_PATTERN
+from textassay.session import materialise
 
 HASHED_WIDTH = 1 << 18
 SELECTED_WIDTH = 1 << 11
@@ -39,36 +42,44 @@ def term_stages(text: str = "text") -> list[Transformer]:
     ]
 
 
-def fit_text_features(
-    train: DataFrame, width: int = HASHED_WIDTH, selected: bool = False, text: str = "text"
-) -> PipelineModel:
-    """Text to an L2-normalised TF-IDF vector ``features``, fitted on ``train``.
+def fit_vectors(
+    df: DataFrame,
+    keep: Sequence[str],
+    train: Column | None = None,
+    width: int = HASHED_WIDTH,
+    selected: bool = False,
+    text: str = "text",
+) -> tuple[PipelineModel, DataFrame]:
+    """L2-normalised TF-IDF vectors ``features`` of all rows, fitted on ``train`` rows.
 
     All terms hashed to ``width`` columns, or with ``selected`` the ``width``
     most frequent terms, which keeps a name per column. Either way the width, and
     with it what the driver holds, is a parameter and not a property of the data.
-    The idf is ln((1+n)/(1+df)) + 1, so the fitted idf is raised by one.
+
+    The text is read once (twice with ``selected``): the term counts are stored,
+    and the idf and the vectors come from them. The returned model goes from text
+    to ``features``, the returned rows have ``keep`` and ``features``.
     """
     stages = term_stages(text)
-    terms = PipelineModel(stages).transform(train)
+    terms = PipelineModel(stages).transform(df)
     if selected:
-        counter = CountVectorizer(
-            vocabSize=width, inputCol="_terms", outputCol="_counts"
-        ).fit(terms)
+        counter = CountVectorizer(vocabSize=width, inputCol="_terms", outputCol="_counts")
+        counter = counter.fit(terms if train is None else terms.where(train))
     else:
         counter = HashingTF(numFeatures=width, inputCol="_terms", outputCol="_counts")
-    fitted = IDF(inputCol="_counts", outputCol="_idf").fit(counter.transform(terms))
+    counted = materialise(counter.transform(terms).select(*keep, "_counts"), "term_counts")
+    fitted = IDF(inputCol="_counts", outputCol="_idf").fit(
+        counted if train is None else counted.where(train)
+    )
+    # the idf wanted is ln((1+n)/(1+df)) + 1; the fitted one lacks the 1
     weights = ElementwiseProduct(
         scalingVec=Vectors.dense(fitted.idf.toArray() + 1.0),
         inputCol="_counts",
         outputCol="_weighted",
     )
     unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="features")
-    return PipelineModel([*stages, counter, weights, unit])
-
-
-def vectors(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
-    return model.transform(df).select(*keep, "features")
+    rows = PipelineModel([weights, unit]).transform(counted).select(*keep, "features")
+    return PipelineModel([*stages, counter, weights, unit]), rows
 
 
 def selected_terms(model: PipelineModel) -> list[str]:
