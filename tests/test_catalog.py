@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 import sys
 from pathlib import Path
 
@@ -54,5 +55,12 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
     assert ours == theirs and ours
 
 
+def test_contract_loads_without_a_session():
+    """The driver imports the contract before it starts Spark."""
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() == 1

@@ -15,7 +15,7 @@ from textassay.sources import features as feature_files
 from textassay.sources.reports import training_history, write_report
 
 
-IN_TRAIN = F.col("split") == "train"
+IN_TRAIN = "split = 'train'"
 
 
 def split_vectors(spark, sf_dir, **kwargs):
@@ -99,7 +99,7 @@ def tree_count_sweep(spark, sf_dir):
     rows = splits.holdout_split(labelled(spark, sf_dir))
     keep = ("doc_id", "split", "label")
     _, vectors = fit_vectors(rows, keep, IN_TRAIN, SELECTED_WIDTH, selected=True)
-    return tuning.tree_count_sweep(vectors.where(IN_TRAIN), vectors.where(~IN_TRAIN))
+    return tuning.tree_count_sweep(vectors.where(IN_TRAIN), vectors.where("split = 'val'"))
 
 
 @query("learning_curve")

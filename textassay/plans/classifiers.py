@@ -67,9 +67,9 @@ def minimum_count(df: DataFrame, vocab_limit: int) -> int:
 def fit_sequence_model(
     train: DataFrame,
     vector_size: int = 128,
-    hashed_width: int = 1 << 16,
+    hashed_width: int = 1 << 14,
     reg_param: float = 1e-4,
-    max_iter: int = 50,
+    max_iter: int = 30,
     class_weight: bool = True,
     vocab_limit: int = 200_000,
     seed: int = 42,

@@ -45,7 +45,7 @@ def term_stages(text: str = "text") -> list[Transformer]:
 def fit_vectors(
     df: DataFrame,
     keep: Sequence[str],
-    train: Column | None = None,
+    train: Column | str | None = None,
     width: int = HASHED_WIDTH,
     selected: bool = False,
     text: str = "text",
