@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from textassay.session import materialise, scratch_path, shared_dir
+from textassay.session import materialise, scratch_path, shared_dir, sized
 from textassay.sources import claims, features, reports
 
 
@@ -71,3 +71,13 @@ def test_stored_table_has_a_known_size(spark):
     joined = spark.range(1000).join(small, "id")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize(
+    "limits, strategy",
+    [({}, "BroadcastHashJoin"), ({"max_rows": 5}, "SortMergeJoin"), ({"max_bytes": 5}, "SortMergeJoin")],
+)
+def test_broadcast_follows_the_measured_size(spark, limits, strategy):
+    table = materialise(spark.range(10).selectExpr("id", "cast(id as string) AS w"), "table")
+    joined = spark.range(1000).join(sized(table, **limits), "id")
+    assert strategy in joined._jdf.queryExecution().executedPlan().toString()

@@ -85,15 +85,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sized(table: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``table`` with the join strategy its row count allows.
+def sized(table: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """``table`` with the join strategy that its measured size allows.
 
     For joins whose other side is exploded: Catalyst does not know how many rows
     an explode makes and would take that side for the small one. A stored table
-    of up to ``max_rows`` is broadcast, a larger one is sort-merge joined.
+    of up to ``max_rows`` rows and ``max_bytes`` of text is broadcast, any other
+    is sort-merge joined.
     """
-    few = table.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(table) if few else table.hint("merge")
+    if table.limit(max_rows + 1).count() > max_rows:
+        return table.hint("merge")
+    texts = [F.octet_length(name) for name, kind in table.dtypes if kind == "string"]
+    measured = table.agg(F.sum(sum(texts, F.lit(0))).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(table) if measured <= max_bytes else table.hint("merge")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

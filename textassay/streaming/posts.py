@@ -17,6 +17,10 @@ from pyspark.sql.streaming import StreamingQuery
 from textassay.functions import posts as fn
 
 
+# The queues of posts and reports. A topic name can hold no slash.
+INPUT_QUEUE, OUTPUT_QUEUE = "misinfo/input", "misinfo/output"
+
+
 def read_post_files(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
     """One JSON post per line of the files in ``path``, as column ``value``."""
     reader = spark.readStream.format("text")
@@ -25,7 +29,7 @@ def read_post_files(spark: SparkSession, path: str, per_batch: int | None = None
     return reader.load(path)
 
 
-def read_post_topic(spark: SparkSession, servers: str, topic: str = "misinfo/input") -> DataFrame:
+def read_post_topic(spark: SparkSession, servers: str, topic: str = INPUT_QUEUE) -> DataFrame:
     """The same from a broker topic; needs the Kafka connector on the class path."""
     return (
         spark.readStream.format("kafka")
@@ -113,7 +117,7 @@ def publish_files(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def publish_topic(
-    lines: DataFrame, servers: str, checkpoint: str, topic: str = "misinfo/output"
+    lines: DataFrame, servers: str, checkpoint: str, topic: str = OUTPUT_QUEUE
 ) -> StreamingQuery:
     """At-least-once to a broker; the key lets a reader drop a repeat."""
     return (
