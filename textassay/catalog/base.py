@@ -12,7 +12,6 @@ from textassay.functions.labels import decide
 from textassay.functions.text import (
     PUNCT_PATTERN,
     SEQUENCE_FILTERS,
-    SPACE,
     SPLIT_PATTERN,
     TAG_PATTERN,
     TERM_PATTERN,
@@ -51,7 +50,8 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents", *columns: s
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, text, label)``: documents with their quality label."""
-    return attach_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    documents = texts(spark, sf_dir, "documents", "doc_id", "text")
+    return attach_labels(documents, table(spark, sf_dir, "labels"))
 
 
 def split_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textassay.session import materialise, shuffle_partitions, sized, spread
+from textassay.session import materialise, shuffle_partitions, sized
 
 
 def attach_labels(
@@ -17,7 +17,7 @@ def attach_labels(
     """Labelled text ``(doc_id, text, label)``; rows without text or label drop out."""
     right = labels.select(key, F.col(label).alias("label")).where(F.col("label").isNotNull())
     left = documents.select(key, "text").where(F.col("text").isNotNull())
-    return spread(left, key).join(right, key)
+    return left.join(right, key)
 
 
 def attach_text(predictions: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -101,10 +101,11 @@ def sized(table: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for per-row text work on an input of few splits.
+    """Use all cores for per-row text work on a scan of few splits.
 
     A scan with at least as many splits as the cluster has cores is left alone,
-    so that large inputs are not shuffled.
+    so that large inputs are not shuffled. Only for plain scans: asking one for
+    its splits runs no job.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
