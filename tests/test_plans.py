@@ -97,9 +97,9 @@ def test_draws(spark):
         tuning.draw_trials(spark, space, "other", 1, 1)
 
 
-def test_minimum_count_keeps_the_limit(spark):
+def test_word_limits_keep_the_limit(spark):
     df = spark.createDataFrame([(["a"] * 5 + ["b"] * 3 + ["c"] * 3 + ["d"],)], "words array<string>")
-    assert [classifiers.minimum_count(df, k) for k in (1, 2, 3, 4)] == [5, 5, 3, 1]
+    assert [classifiers.word_limits(df, k) for k in (1, 2, 3, 4)] == [(5, 12), (5, 12), (3, 12), (1, 12)]
 
 
 def test_learning_curve(spark, claims):

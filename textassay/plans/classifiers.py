@@ -56,12 +56,13 @@ def sequence_input(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("words", sequence_words(clean_text(F.col(text))))
 
 
-def minimum_count(df: DataFrame, vocab_limit: int) -> int:
-    """Smallest word count at which at most ``vocab_limit`` words remain."""
+def word_limits(df: DataFrame, vocab_limit: int) -> tuple[int, int]:
+    """Smallest word count at which at most ``vocab_limit`` words remain; all words."""
     by_count = word_counts(df).groupBy("n").agg(F.count("*").alias("words"))
     totals = running_totals(by_count, [F.desc("n")], ["words"])
-    least = totals.where(F.col("cum_words") <= vocab_limit).agg(F.min("n")).first()[0]
-    return int(least or 1)
+    kept = F.when(F.col("cum_words") <= vocab_limit, F.col("n"))
+    least, words = totals.agg(F.min(kept), F.sum(F.col("n") * F.col("words"))).first()
+    return int(least or 1), int(words or 0)
 
 
 def fit_sequence_model(
@@ -85,13 +86,16 @@ def fit_sequence_model(
         train = train.join(weights, "label")
     else:
         train = train.withColumn("weight", F.lit(1.0))
+    min_count, n_words = word_limits(train, vocab_limit)
+    # a task per million words: every task holds a copy of all word vectors
+    parts = min(shuffle_partitions(train.sparkSession), 1 + n_words // 1_000_000)
     stages = [
         Word2Vec(
             inputCol="words",
             outputCol="_meaning",
             vectorSize=vector_size,
-            minCount=minimum_count(train, vocab_limit),
-            numPartitions=shuffle_partitions(train.sparkSession),
+            minCount=min_count,
+            numPartitions=parts,
             seed=seed,
         ),
         NGram(n=2, inputCol="words", outputCol="_pairs"),
