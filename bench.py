@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from textassay.catalog import QUERIES  # noqa: E402
-from textassay.session import build_session  # noqa: E402
+from textassay.session import build_session, release  # noqa: E402
 
 HEADLINE = [
     "recommended_length",
@@ -68,6 +68,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

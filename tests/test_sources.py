@@ -75,7 +75,7 @@ def test_stored_table_has_a_known_size(spark):
 
 @pytest.mark.parametrize(
     "limits, strategy",
-    [({}, "BroadcastHashJoin"), ({"max_rows": 5}, "SortMergeJoin"), ({"max_bytes": 5}, "SortMergeJoin")],
+    [({}, "BroadcastHashJoin"), ({"max_bytes": 5}, "SortMergeJoin")],
 )
 def test_broadcast_follows_the_measured_size(spark, limits, strategy):
     table = materialise(spark.range(10).selectExpr("id", "cast(id as string) AS w"), "table")

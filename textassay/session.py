@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` (or a checkpoint folder already set on the
-    context) is used as it is. Only a local-mode session without one gets a
-    temporary folder; a cluster without one is an error, because a machine-local
-    folder would be lost with its executor.
+    context) is used as it is. Where neither is set, a folder below the
+    warehouse, which the cluster shares already.
     """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="textassay-")
-    sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir().rstrip("/")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def app_dir(spark: SparkSession) -> str:
@@ -68,6 +61,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{app_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+def release(spark: SparkSession) -> bool:
+    """Remove everything :func:`scratch_path` gave out to this application.
+
+    Call it when the results that read those tables have been written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(system.delete(path, True))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 
@@ -85,18 +88,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sized(table: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+def sized(table: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """``table`` with the join strategy that its measured size allows.
 
     For joins whose other side is exploded: Catalyst does not know how many rows
     an explode makes and would take that side for the small one. A stored table
-    of up to ``max_rows`` rows and ``max_bytes`` of text is broadcast, any other
-    is sort-merge joined.
+    whose rows take up to ``max_bytes`` is broadcast, any other is sort-merge
+    joined. The row count comes from the Parquet footers, so a table too long to
+    qualify is never read.
     """
-    if table.limit(max_rows + 1).count() > max_rows:
+    fixed = 16 * len(table.columns)
+    rows = table.count()
+    if rows * fixed > max_bytes:
         return table.hint("merge")
     texts = [F.octet_length(name) for name, kind in table.dtypes if kind == "string"]
-    measured = table.agg(F.sum(sum(texts, F.lit(0))).alias("bytes")).first()["bytes"] or 0
+    measured = table.agg(F.sum(sum(texts, F.lit(fixed))).alias("bytes")).first()["bytes"] or 0
     return F.broadcast(table) if measured <= max_bytes else table.hint("merge")
 
 
