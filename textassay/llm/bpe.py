@@ -13,10 +13,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from textassay.llm.components import slices
 from textassay.llm.packing import byte_letters
 
-CACHED_UNITS = 400_000  # units whose ids a Python worker remembers
-CACHED_PAIRS = 1_000_000
+CACHED_UNITS = 200_000  # units whose ids a Python worker remembers
+CACHED_PAIRS = 400_000
 
 
 class KnownWords(dict):
@@ -221,7 +222,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load_bpe(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             found = [bpe.ids(value.as_py() or "") for value in batch.column(1)]
             sizes = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
             values = np.frombuffer(b"".join(found), "<i4")
@@ -246,7 +247,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids: str = "ids", name: str = "de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load_bpe(tokenizer).texts
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(place)
             texts = [table.join(np.asarray(row.values)) if row.is_valid else b"" for row in lists]
             column = pa.array(texts, pa.binary()).cast(pa.string())

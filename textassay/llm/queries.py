@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.llm import bpe, packing, simhash
-from textassay.session import spread
+from textassay.llm import boilerplate, bpe, chat, chunks, fingerprint, language, packing, pii, simhash, vectors
+from textassay.session import materialise, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +35,50 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(read(spark, sf_dir, "documents").select(*columns or ["*"]), "doc_id")
 
 
+@query("op1_order_minhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edit_likeness(documents(spark, sf_dir, "doc_id", "text"))
+    found = found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    return fingerprint.beside_next(materialise(found, "likeness"))
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    learned = language.sample_languages(docs.where(F.coalesce(~held_out(), F.lit(False))))
+    found = language.identify(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+LINES_SQL = """
+WITH pages AS (
+  SELECT doc_id, coalesce('=' || source, '') AS host, string_split(text, chr(10)) AS lines
+  FROM documents),
+each AS (
+  SELECT doc_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM pages),
+totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
+counts AS (
+  SELECT host, line, count(DISTINCT doc_id) AS n FROM each WHERE trim(line) <> '' GROUP BY host, line),
+frequent AS (
+  SELECT host, line, true AS hit FROM counts JOIN totals USING (host)
+  WHERE n >= 5 AND n > CAST(0.05 AS DOUBLE) * pages)
+SELECT doc_id,
+  coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE hit IS NULL), '') AS text,
+  count(*) AS n_lines, count(hit) AS n_dropped
+FROM each LEFT JOIN frequent USING (host, line) GROUP BY doc_id
+"""
+
+
+@query("op3_site_lines", LINES_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "source", "text")
+    return boilerplate.drop_boilerplate(docs).drop("source")
+
+
 @query("op4_simhash_groups")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
@@ -42,6 +86,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.drop_repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select(
@@ -55,6 +104,72 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir, "doc_id", "text"))
 
 
+@query("op7_near_vectors")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.add_candidates(documents(spark, sf_dir, "doc_id", "text"))
+    found = materialise(found.select("doc_id", "candidates"), "candidates")
+    model = pii.fit(found)
+    base = F.filter("candidates", lambda c: c["base"])
+    counts = [
+        F.size(F.filter(base, lambda c, i=i: c["kind"] == i)).cast("long").alias(f"n_{kind}")
+        for i, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(pii.accepted(model)).alias("spans"),
+    )
+
+
+@query("op9_chat_examples")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    examples = chat.expand(turns.select(*extra.columns).unionByName(extra))
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_chars"))
+    turn = F.transform(
+        chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    )
+    last = F.col("example") == F.col("n_turns")
+    each = examples.select(
+        "conv_id",
+        F.struct("example", loss.alias("loss")).alias("loss"),
+        F.char_length("formatted").alias("chars"),
+        F.when(last, turn).alias("turns"),
+    ).select(
+        "conv_id",
+        "loss",
+        "chars",
+        F.size("turns").alias("n_turns"),
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+    )
+    text = F.array_join(F.transform(F.sort_array("loss"), lambda x: x["loss"]), "")
+    grouped = each.groupBy("conv_id").agg(
+        F.max("n_turns").cast("long").alias("n_turns"),
+        F.max("turns_sha256").alias("turns_sha256"),
+        F.collect_list("loss").alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
+    )
+    return grouped.withColumn("loss", text).select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 @query("op10_bpe_round_trip")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
