@@ -7,6 +7,7 @@ labeler can be trusted, and a classifier is trained on the resulting soft labels
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -102,6 +103,10 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _counts(kind: str) -> Callable[[Column], Column]:
+    return lambda found: _valid(kind, found["hit"])
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 2).when(no, 0).otherwise(1)
 
@@ -126,7 +131,7 @@ def _check(kind: str, hit: Column) -> Column:
     return _vote(F.char_length(hit) <= 80, F.lit(True))
 
 
-def _described(text: Column, kind: str, base: bool) -> callable:
+def _described(text: Column, kind: str, base: bool) -> Callable[[Column], Column]:
     """A located hit as a candidate: span, votes (0 no, 1 abstains, 2 yes) and features."""
 
     def describe(found: Column) -> Column:
@@ -185,7 +190,7 @@ def add_candidates(docs: DataFrame, text: str = "text", name: str = "candidates"
         if tag == "l":
             loose.append(F.transform(F.col(at), described))
         else:
-            good = F.filter(F.col(at), lambda x, k=kind: _valid(k, x["hit"]))
+            good = F.filter(F.col(at), _counts(kind))
             base.append(F.transform(good, described))
             if kind == "card":
                 bad = F.filter(F.col(at), lambda x: ~_valid("card", x["hit"]))
@@ -287,6 +292,10 @@ def accepted(model: SpanModel, name: str = "candidates") -> Column:
     return F.filter(F.col(name), model.accepts)
 
 
+def of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:stop`` of all spans, joined by commas."""
     names = F.array(*map(F.lit, KINDS))

@@ -116,8 +116,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pii.fit(found)
     base = F.filter("candidates", lambda c: c["base"])
     counts = [
-        F.size(F.filter(base, lambda c, i=i: c["kind"] == i)).cast("long").alias(f"n_{kind}")
-        for i, kind in enumerate(pii.KINDS)
+        F.size(pii.of_kind(base, kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS
     ]
     return found.select(
         "doc_id",
