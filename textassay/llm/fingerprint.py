@@ -12,11 +12,11 @@ SKETCHES = 32
 PICKED = 2  # k-mers of one sketch; their order is what makes the sketch sensitive to moves
 WORDS = 3  # words of one k-mer
 
-#: A token: one ideograph or syllable of a script without spaces, or up to 16 other characters.
-TOKEN = (
-    r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]"
-    r"|[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]{1,16}"
-)
+_UNSPACED = r"฀-๿぀-ヿ㐀-䶿一-鿿"
+#: A token: one character of a script without spaces, or up to 64 others.
+TOKEN = rf"[{_UNSPACED}]|[^\s{_UNSPACED}]{{1,64}}"
+_UNEVEN = rf"[{_UNSPACED}]|\S{{65}}"  # only such texts need that pattern; others are split at white space
+EXPECTED = 12  # ring members looked at first after each sketch's turn
 _PLACE_BITS = 31  # of a packed long; the hash has the 33 bits above
 _PLACE = (1 << _PLACE_BITS) - 1
 _STEP = (1 << 33) // SKETCHES
@@ -38,9 +38,14 @@ def add_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
 
     Null, empty and blank texts give an empty fingerprint. The arrays are linear in the text.
     """
-    tokens, kmers, runs, ring, picks = (f"_omh_{s}" for s in ("t", "k", "r", "o", "p"))
-    drop = [tokens, kmers, runs, ring, picks]
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"({TOKEN})"), F.lit(1))
+    drop = [f"_omh_{i}" for i in range(9)]
+    tokens, kmers, runs, ring, near, marked, ahead, sorted_, full = drop
+    full_text = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    words = (
+        F.when(full_text == "", F.array().cast("array<string>"))
+        .when(full_text.rlike(_UNEVEN), F.regexp_extract_all(full_text, F.lit(TOKEN), F.lit(0)))
+        .otherwise(F.split(full_text, r"\s+"))
+    )
     out = docs.withColumn(tokens, words)
     count = F.greatest(F.size(tokens) - (WORDS - 1), F.least(F.size(tokens), F.lit(1)))
     places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
@@ -68,51 +73,82 @@ def add_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
             ),
         ),
     )
-    # (k-mer, number) on the ring; most runs have one member
-    stops = F.concat(F.slice(F.col(runs), 2, F.greatest(F.size(runs), F.lit(1))), F.array(count + 1))
-
-    def members(begin: Column, stop: Column) -> Column:
-        def on_ring(i: Column) -> Column:
-            packed = F.get(F.col(kmers), i - 1)
-            number = i - begin
-            return _packed(
-                F.xxhash64(F.shiftright(packed, _PLACE_BITS), number), packed.bitwiseAND(F.lit(_PLACE))
-            )
+    # (k-mer, number) on the ring: first members of all runs, then the rest of the longer runs
+    def on_ring(packed: Column, number: Column) -> Column:
+        return _packed(
+            F.xxhash64(F.shiftright(packed, _PLACE_BITS), number), packed.bitwiseAND(F.lit(_PLACE))
+        )
+
+    firsts = F.transform(F.col(runs), lambda p: on_ring(F.get(F.col(kmers), p - 1), F.lit(0)))
 
-        return F.transform(F.sequence(begin, stop - 1), on_ring)
+    def begin(q: Column) -> Column:
+        return F.get(F.col(runs), q - 1)
 
-    numbered = F.flatten(F.zip_with(F.col(runs), F.when(count > 0, stops).otherwise(F.col(runs)), members))
-    out = out.withColumn(ring, F.sort_array(numbered))
-    # how many ring members lie before each sketch's turn: a mark for each turn is sorted in
+    def stop(q: Column) -> Column:
+        return F.coalesce(F.get(F.col(runs), q), count + 1)
+
+    longer = F.filter(F.sequence(F.lit(1), F.size(runs)), lambda q: stop(q) - begin(q) > 1)
+    others = F.flatten(
+        F.transform(
+            longer,
+            lambda q: F.transform(
+                F.sequence(F.lit(1), stop(q) - begin(q) - 1),
+                lambda i: on_ring(F.get(F.col(kmers), begin(q) + i - 1), i),
+            ),
+        )
+    )
+    out = out.withColumn(ring, F.when(F.size(runs) == count, firsts).otherwise(F.concat(firsts, others)))
+    # Of a long text only members shortly after a turn are sorted, unless a turn has too few of them.
+    sector = _STEP << _PLACE_BITS
+    share = F.lit(float(SKETCHES * EXPECTED)) / F.greatest(F.size(ring), F.lit(1))
+    reach = F.when(share >= 1, F.lit(sector)).otherwise(F.floor(share * float(sector)))
+    close = F.filter(F.col(ring), lambda v: v.bitwiseAND(F.lit(sector - 1)) < F.col(ahead))
+    out = out.withColumn(ahead, reach.cast("long"))
+    out = out.withColumn(near, F.sort_array(F.when(F.col(ahead) < sector, close).otherwise(F.col(ring))))
     turns = [(_STEP * j - (1 << 32)) << _PLACE_BITS for j in range(SKETCHES)]
     marks = F.array(*[F.lit(t) for t in turns])
-    out = out.withColumn(picks, F.sort_array(F.concat(F.col(ring), marks)))
-    total = F.greatest(F.size(ring), F.lit(1))
-    sketches = []
-    for j, turn in enumerate(turns):
-        before = F.array_position(F.col(picks), F.lit(turn)).cast("int") - 1 - j
-        found = [F.get(F.col(ring), F.pmod(before + i, total)) for i in range(PICKED)]
-        place = [f.bitwiseAND(F.lit(_PLACE)) for f in found]
-        kmer = [F.shiftright(f, _PLACE_BITS) for f in found]
-        in_order = place[0] <= place[1]
-        pair = F.xxhash64(
-            F.when(in_order, kmer[0]).otherwise(kmer[1]), F.when(in_order, kmer[1]).otherwise(kmer[0])
+    # how many members lie before each turn: a mark for each turn is sorted in
+    def with_places(rows: DataFrame, again: Column | None) -> DataFrame:
+        sorted_in, old = F.sort_array(F.concat(F.col(near), marks)), F.col(marked)
+        rows = rows.withColumn(sorted_, sorted_in if again is None else F.when(again, sorted_in))
+        found = F.array(
+            *[F.array_position(F.col(sorted_), F.lit(t)).cast("int") - 1 - j for j, t in enumerate(turns)]
+        )
+        return rows.withColumn(marked, found if again is None else F.when(again, found).otherwise(old))
+
+    out = with_places(out, None)
+    after = F.concat(F.slice(F.col(marked), 2, SKETCHES), F.array(F.size(near)))
+    enough = F.forall(F.zip_with(after, F.col(marked), lambda b, a: b - a), lambda d: d >= PICKED)
+    out = out.withColumn(full, (F.col(ahead) < sector) & ~enough)
+    out = out.withColumn(near, F.when(F.col(full), F.sort_array(ring)).otherwise(F.col(near)))
+    out = with_places(out, F.col(full))
+    total = F.greatest(F.size(near), F.lit(1))
+
+    def sketch(before: Column) -> Column:
+        found = F.sort_array(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(PICKED - 1)),
+                lambda i: F.struct(
+                    F.get(F.col(near), F.pmod(before + i, total)).bitwiseAND(F.lit(_PLACE)).alias("place"),
+                    F.shiftright(F.get(F.col(near), F.pmod(before + i, total)), _PLACE_BITS).alias("kmer"),
+                ),
+            )
         )
-        sketches.append(F.lpad(F.lower(F.hex(pair.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
-    return out.withColumn(
-        name, F.when(F.size(ring) > 0, F.concat(*sketches)).otherwise(F.lit(""))
-    ).drop(*drop)
+        tuple_hash = F.xxhash64(F.transform(found, lambda f: f["kmer"]))
+        return F.lpad(F.lower(F.hex(tuple_hash.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+
+    sketches = F.array_join(F.transform(F.col(marked), sketch), "")
+    return out.withColumn(name, F.when(F.size(ring) > 0, sketches).otherwise(F.lit(""))).drop(*drop)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal sketches; two empty fingerprints are alike, one is like no other."""
-    equal = [
-        F.when(F.substring(a, 8 * j + 1, 8) == F.substring(b, 8 * j + 1, 8), 1).otherwise(0)
-        for j in range(SKETCHES)
-    ]
-    some = (F.length(a) > 0) & (F.length(b) > 0)
-    return F.when(some, sum(equal, F.lit(0)) / F.lit(float(SKETCHES))).otherwise(
-        F.when((F.length(a) == 0) & (F.length(b) == 0), 1.0).otherwise(0.0)
+    places = F.sequence(F.lit(0), F.lit(SKETCHES - 1))
+    equal = F.filter(places, lambda j: a.substr(8 * j + 1, F.lit(8)) == b.substr(8 * j + 1, F.lit(8)))
+    return (
+        F.when(F.length(a) + F.length(b) == 0, 1.0)
+        .when((F.length(a) == 0) | (F.length(b) == 0), 0.0)
+        .otherwise(F.size(equal) / F.lit(float(SKETCHES)))
     )
 
 
@@ -139,7 +175,6 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     only the needed part of a next text a second time.
     """
     rows = docs.select(
-        key,
         F.coalesce(F.col(text), F.lit("")).alias(text),
         F.col(key).isNull().alias("_null"),
         F.coalesce(F.col(key), F.lit(0)).alias("_k"),
@@ -165,7 +200,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     )
     if (counts["most"] or 0) > 1:
         heads = heads.dropDuplicates(_ID)
-    return rows.join(heads, _ID)
+    # both joins read the same exchange of the rows, so it has the same columns in both
+    return rows.join(heads, _ID).withColumn(key, F.when(~F.col("_null"), F.col("_k")))
 
 
 def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
