@@ -168,15 +168,15 @@ def drop_repeats(
     An insertion moves the cuts near it only, so the rest of a passage is still found.
     """
     added = ["n_chunks", "n_spans", "removed_bytes"]
-    spans = repeated_spans(docs, key, text, min_repeat).withColumnRenamed(key, "_key")
+    spans = repeated_spans(docs, key, text, min_repeat).withColumnsRenamed({key: "_key", "spans": "_spans"})
     base = docs.drop(*added)
     joined = base.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     octets = F.encode(text, "UTF-8")
     # what lies between the spans, each piece cut out of the bytes
     gaps = F.expr(
-        "transform(sequence(0, size(spans)), i -> named_struct("
-        "'from', if(i = 0, 0L, spans[i - 1].start + spans[i - 1].size),"
-        "'to', if(i = size(spans), 2147483647L, spans[i].start)))"
+        "transform(sequence(0, size(_spans)), i -> named_struct("
+        "'from', if(i = 0, 0L, _spans[i - 1].start + _spans[i - 1].size),"
+        "'to', if(i = size(_spans), 2147483647L, _spans[i].start)))"
     )
     kept = F.array_join(
         F.transform(
@@ -187,14 +187,14 @@ def drop_repeats(
         ),
         "",
     )
-    has = F.size("spans") > 0
+    has = F.size("_spans") > 0
     return joined.withColumns(
         {
             text: F.when(has, kept).otherwise(F.col(text)),
             "n_chunks": F.coalesce("n_chunks", F.lit(0)),
-            "n_spans": F.when(has, F.size("spans")).otherwise(0).cast("long"),
+            "n_spans": F.when(has, F.size("_spans")).otherwise(0).cast("long"),
             "removed_bytes": F.when(
-                has, F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["size"])
+                has, F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["size"])
             ).otherwise(F.lit(0).cast("long")),
         }
-    ).drop("spans")
+    ).drop("_spans")

@@ -97,7 +97,7 @@ class CrossParser:
 
     def _complete(self, edges: list[dict[int, int]]) -> np.ndarray:
         """``4 * (next state * width) + phrases`` for each state and symbol."""
-        known = np.full((len(edges), self.width), -1, np.int64)
+        known = np.full((len(edges), self.width), -1, np.int32)
         rows, columns, targets = [], [], []
         for state, out in enumerate(edges):
             rows += [state] * len(out)
@@ -107,10 +107,11 @@ class CrossParser:
         root = known[0].copy()
         start = np.where(root >= 0, root, 0)
         cost = np.where(root >= 0, 1, 2)  # ends a phrase; a symbol unseen is one more
-        table = np.where(known >= 0, 4 * self.width * known, 4 * self.width * start + cost)
+        known *= 4 * self.width
+        table = np.where(known >= 0, known, (4 * self.width * start + cost).astype(np.int32))
         table[0] = np.where(root >= 0, 4 * self.width * root, 1)
         table[:, -1] = 4 * self.width * np.arange(len(edges))
-        return table.astype(np.int32).ravel()
+        return table.ravel()
 
     def phrases(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Phrase counts, one row per text and one column per language."""
@@ -199,7 +200,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples)
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 512):
             texts = batch.column(place)
             codes, starts = symbols(texts)
             bits = parser.phrases(codes, starts) * parser.weight

@@ -15,11 +15,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from textassay.llm.components import slices
+
 WINDOW = 2048
 PIECE = 512  # longest piece of a document's rest; short pieces fill windows evenly
 GROUP = 512  # pieces that are partitioned together
 END_ID = 1
-CACHED_UNITS = 400_000  # units whose ids a Python worker remembers
+CACHED_UNITS = 250_000  # units whose ids a Python worker remembers
 
 #: How byte-level vocabularies split a text and write a byte.
 SPLIT_PATTERN = (
@@ -188,7 +190,7 @@ def pack(
         next_id = TaskContext.get().partitionId() << 33
         rows: list[list] = []  # key, start, ids, doc_tokens of short pieces
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             whole = []
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.ids(value.as_py() or "") + end

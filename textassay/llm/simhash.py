@@ -11,13 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textassay.llm.components import connected_components
+from textassay.llm.components import connected_components, slices
 from textassay.session import materialise
 
 SEED = 42
 BITS = 64
 BUCKET_ROWS = 1024  # distinct fingerprints of a block that one task compares at once
-_FLUSH = 1 << 18  # shingle hashes held before their bits are counted
+_FLUSH = 1 << 16  # shingle hashes held before their bits are counted
 
 
 def _shingle_hashes(text: str, width: int) -> list[int]:
@@ -70,7 +70,7 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = fingerprint_texts(batch.column(1).to_pylist(), width).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(prints)], names=[key, "fingerprint"]
