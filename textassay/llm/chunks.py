@@ -66,7 +66,7 @@ def chunk_ends(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, sizes, digests)``: UTF-8 sizes and digests of each row's chunks, in order."""
+    """``(key, _h, sizes, digests)``: each row's text hash, and its chunks' UTF-8 sizes and digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
@@ -83,20 +83,20 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             rows = pa.array(np.searchsorted(owners, np.arange(len(texts) + 1)).astype(np.int32))
             lists = (pa.array((ends - begins).astype(np.int32)), pa.array(digests, pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.ListArray.from_arrays(rows, values) for values in lists)],
-                names=[key, "sizes", "digests"],
+                [batch.column(0), batch.column(2), *(pa.ListArray.from_arrays(rows, v) for v in lists)],
+                names=[key, "_h", "sizes", "digests"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, sizes array<int>, digests array<binary>"
+    return docs.select(key, text, F.xxhash64(text).alias("_h")).mapInArrow(
+        run, f"`{key}` {kind}, _h bigint, sizes array<int>, digests array<binary>"
     )
 
 
 def repeated_spans(
     docs: DataFrame, key: str = "doc_id", text: str = "text", min_repeat: int = MIN_REPEAT
 ) -> DataFrame:
-    """``(key, n_chunks, spans)`` for each row.
+    """``(key, _h, n_chunks, spans)`` for each text, ``_h`` being its hash.
 
     ``spans`` are the ``(start, size)`` in UTF-8 bytes of passages that repeat: runs of
     chunks which all occur at an earlier place (a smaller key, or earlier in the
@@ -108,40 +108,49 @@ def repeated_spans(
     the join, where Spark splits the frequent ones.
     """
     whole = materialise(chunk(docs, key, text), "chunks")
-    chunks = whole.select(key, F.posexplode("digests").alias("chunk", "digest"))
-    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("at"), F.col("chunk").alias("nth"))
+    # a row is known by its key, and by its text too where keys repeat
+    unique = whole.groupBy(key).count().where("count > 1").isEmpty()
+    ids = [key] if unique else [key, "_h"]
+    chunks = whole.select(*ids, F.posexplode("digests").alias("chunk", "digest"))
+    order = F.struct(F.col(key).isNull().alias("last"), *ids, F.col("chunk").alias("nth"))
     firsts = materialise(
         chunks.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("digest", F.col("first.at").alias("first_key"), F.col("first.nth").alias("first_nth")),
+        .where("n > 1")
+        .select("digest", *[F.col(f"first.{c}").alias(f"_first_{c}") for c in [*ids, "nth"]]),
         "repeated_digests",
     )
-    first_place = F.col(key).eqNullSafe(F.col("first_key")) & (F.col("chunk") == F.col("first_nth"))
+    first_place = F.col("chunk") == F.col("_first_nth")
+    same = F.lit(True)
+    for c in ids:
+        first_place &= F.col(c).eqNullSafe(F.col(f"_first_{c}"))
+        same &= F.col(c).eqNullSafe(F.col(f"_later_{c}"))
     later = (
         chunks.join(firsts, "digest")
         .where(~first_place)
-        .groupBy(F.col(key).alias("_later"))
+        .groupBy(*[F.col(c).alias(f"_later_{c}") for c in ids])
         .agg(F.sort_array(F.collect_set("chunk")).alias("repeated"))
     )
-    joined = whole.join(later, F.col(key).eqNullSafe(F.col("_later")), "left").select(
-        key, "sizes", F.coalesce("repeated", F.array().cast("array<int>")).alias("repeated")
+    joined = whole.join(later, same, "left").select(
+        key, "_h", "sizes", F.coalesce("repeated", F.array().cast("array<int>")).alias("repeated")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, spans = [], []
-            for sizes, repeated in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for sizes, repeated in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 counts.append(len(sizes))
                 spans.append(_runs(sizes, repeated, min_repeat))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, kind)],
-                names=[key, "n_chunks", "spans"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, kind)],
+                names=[key, "_h", "n_chunks", "spans"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(
-        run, f"`{key}` {kind}, n_chunks bigint, spans array<struct<start:bigint,size:bigint>>"
+    found = joined.mapInArrow(
+        run, f"`{key}` {kind}, _h bigint, n_chunks bigint, spans array<struct<start:bigint,size:bigint>>"
     )
+    return found if unique else found.dropDuplicates([key, "_h"])
 
 
 def _runs(sizes: list[int], repeated: list[int], min_repeat: int) -> list[dict[str, int]]:
@@ -163,14 +172,15 @@ def drop_repeats(
 
     Adds ``n_chunks``, ``n_spans`` and ``removed_bytes`` (columns of these names that are
     there already are replaced). A null text stays null and, like an empty one, has no
-    chunks. Rows are kept even where nothing is left of their text. Rows that share a key are taken
-    for repeated rows of one document: the first place is theirs together.
+    chunks. Rows are kept even where nothing is left of their text. Rows that share
+    key and text are one document repeated: the first place is theirs together.
     An insertion moves the cuts near it only, so the rest of a passage is still found.
     """
     added = ["n_chunks", "n_spans", "removed_bytes"]
     spans = repeated_spans(docs, key, text, min_repeat).withColumnsRenamed({key: "_key", "spans": "_spans"})
     base = docs.drop(*added)
-    joined = base.join(spans, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_h"))
+    joined = base.join(spans, same, "left").drop("_key", "_h")
     octets = F.encode(text, "UTF-8")
     # what lies between the spans, each piece cut out of the bytes
     gaps = F.expr(
