@@ -81,3 +81,21 @@ def test_broadcast_follows_the_measured_size(spark, limits, strategy):
     table = materialise(spark.range(10).selectExpr("id", "cast(id as string) AS w"), "table")
     joined = spark.range(1000).join(sized(table, **limits), "id")
     assert strategy in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fractional_label_is_an_error(spark, tmp_path):
+    path = write_file(tmp_path, b"claim,label\na,0.7\n")
+    with pytest.raises(Exception, match="not a whole number: 0.7"):
+        claims.read_claims(spark, path).collect()
+
+
+def test_enriched_columns_are_found_by_name(spark, tmp_path):
+    path = write_file(tmp_path, b"all_caps,content,hedge_words_count,category\n3,c,2,x\n,d,1.0,\n")
+    got = claims.read_enriched_posts(spark, path, ["hedge_words_count", "content", "all_caps"])
+    assert [tuple(r) for r in got.collect()] == [(2, "c", 3), (1, "d", None)]
+
+
+def test_bad_count_is_an_error(spark, tmp_path):
+    path = write_file(tmp_path, b"content,symbols\na,many\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        claims.read_enriched_posts(spark, path, ["symbols"]).collect()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from textassay.streaming import posts
@@ -62,14 +63,12 @@ def test_stream_equals_batch_and_restart_repeats_nothing(spark, tmp_path):
     first = lines(spark, *[post_number(i) for i in range(40)], {**GOOD, "id": "abc"})
     first.repartition(4).write.text(source)
     stream = posts.read_post_files(spark, source, per_batch=1)
-    for query in posts.score_posts(stream, by_length, out):
-        query.awaitTermination()
+    posts.score_posts(stream, by_length, out).awaitTermination()
     assert spark.read.text(f"{out}/reports").count() == 40
     assert spark.read.text(f"{out}/rejected").count() == 1
     more = lines(spark, *[post_number(i) for i in range(40, 50)])
     more.write.mode("append").text(source)
-    for query in posts.score_posts(posts.read_post_files(spark, source), by_length, out):
-        query.awaitTermination()
+    posts.score_posts(posts.read_post_files(spark, source), by_length, out).awaitTermination()
     streamed = sorted(r["value"] for r in spark.read.text(f"{out}/reports").collect())
     batch = posts.reports(
         posts.valid_posts(posts.parse_posts(first.unionByName(more))), by_length
@@ -100,3 +99,29 @@ def test_repeats_are_dropped_across_batches(spark, tmp_path):
     once = posts.without_repeats(posts.valid_posts(posts.parse_posts(raw)))
     posts.publish_files(posts.reports(once, by_length), out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.text(out).count() == 10
+
+
+@pytest.mark.parametrize(
+    "dates",
+    [
+        ["2024-01-02T00:00:00", "2024-01-02T00:10:00", "2024-01-01T00:00:00"],
+        ["2099-01-01T00:00:00", "2024-01-02T00:00:00", "2024-01-01T00:00:00"],
+    ],
+)
+def test_no_post_is_lost_for_its_date(spark, tmp_path, dates):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, date in enumerate(dates):
+        post = lines(spark, {**post_number(i), "date": date})
+        post.coalesce(1).write.mode("append").text(source)
+    raw = posts.read_post_files(spark, source, per_batch=1)
+    once = posts.without_repeats(posts.valid_posts(posts.parse_posts(raw)))
+    posts.publish_files(posts.reports(once, by_length), out, str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.text(out).count() == len(dates)
+
+
+def test_other_spellings_of_an_id(spark):
+    spellings = ["{%s}", "urn:uuid:%s", "%s"]
+    records = [{**GOOD, "id": s % GOOD["id"].upper()} for s in spellings]
+    records.append({**GOOD, "id": GOOD["id"].replace("-", "")})
+    parsed = posts.valid_posts(posts.parse_posts(lines(spark, *records)))
+    assert [r["post_id"] for r in parsed.collect()] == [GOOD["id"]] * 4

@@ -65,14 +65,15 @@ def shuffled_labels(spark, sf_dir):
 
 @query(
     "merged_sources",
-    """SELECT doc_id, 1 AS label FROM documents WHERE source = 'src0'
-UNION ALL SELECT doc_id, 0 AS label FROM documents WHERE source = 'src1'""",
+    """SELECT doc_id, 1 AS label FROM documents WHERE source < 'src2'
+UNION ALL SELECT doc_id, 0 AS label FROM documents WHERE source >= 'src2' OR source IS NULL""",
 )
 def merged_sources(spark, sf_dir):
+    """All documents, as two groups of sources."""
     docs = table(spark, sf_dir, "documents")
     return setops.merge_labelled(
-        docs.where("source = 'src0'").select("doc_id"),
-        docs.where("source = 'src1'").select("doc_id"),
+        docs.where("source < 'src2'").select("doc_id"),
+        docs.where("source >= 'src2' OR source IS NULL").select("doc_id"),
     )
 
 

@@ -129,11 +129,16 @@ def strict_labels(spark, sf_dir):
 
 @query(
     "claims_as_text",
-    "SELECT doc_id, CAST(n_chars AS VARCHAR) AS claim FROM documents WHERE n_chars IS NOT NULL",
+    """SELECT doc_id, CAST(text AS VARCHAR) AS claim, CAST(n_chars AS VARCHAR) AS length
+FROM documents WHERE text IS NOT NULL""",
 )
 def claims_as_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").dropna(subset=["n_chars"])
-    return docs.select("doc_id", F.col("n_chars").cast("string").alias("claim"))
+    docs = table(spark, sf_dir, "documents").dropna(subset=["text"])
+    return docs.select(
+        "doc_id",
+        F.col("text").cast("string").alias("claim"),
+        F.col("n_chars").cast("string").alias("length"),
+    )
 
 
 @query(

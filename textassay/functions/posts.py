@@ -21,20 +21,26 @@ WIRE_SCHEMA = T.StructType(
 # State codes on the wire.
 STATES = {0: "FAKE", 1: "TRUE", 2: "NOT_CHECKED"}
 
-UUID_PATTERN = r"^[0-9a-fA-F]{8}-?([0-9a-fA-F]{4}-?){3}[0-9a-fA-F]{12}$"
+# 32 hexadecimal digits; the reader ignores a URN prefix, braces and hyphens
+UUID_PATTERN = r"^[0-9a-fA-F]{32}$"
+UUID_DRESSING = r"urn:|uuid:|^[{}]+|[{}]+$|-"
 
 
 def parse_post(value: Column) -> Column:
     return F.from_json(value, WIRE_SCHEMA)
 
 
+def bare_uuid(c: Column) -> Column:
+    return F.regexp_replace(c, UUID_DRESSING, "")
+
+
 def is_uuid(c: Column) -> Column:
-    return c.rlike(UUID_PATTERN)
+    return bare_uuid(c).rlike(UUID_PATTERN)
 
 
 def canonical_uuid(c: Column) -> Column:
     """Lower case with the hyphens in their places."""
-    bare = F.lower(F.replace(c, F.lit("-"), F.lit("")))
+    bare = F.lower(bare_uuid(c))
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(bare, at, n) for at, n in cuts])
 

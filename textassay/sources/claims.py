@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textassay.functions.labels import strict_label
 
@@ -16,25 +15,22 @@ NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-ENRICHED_SCHEMA = T.StructType(
-    [
-        T.StructField("content", T.StringType()),
-        T.StructField("username", T.StringType()),
-        T.StructField("upload_date", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("misinformation_type", T.StringType()),
-        T.StructField("datasource", T.StringType()),
-        T.StructField("hedge_words_count", T.IntegerType()),
-        T.StructField("symbols", T.IntegerType()),
-        T.StructField("all_caps", T.IntegerType()),
-    ]
-)
+# The counting columns of an enriched-post CSV; the others are texts.
+COUNT_COLUMNS = ("hedge_words_count", "symbols", "all_caps")
 
 
 def null_if_missing(c: Column) -> Column:
     return F.when(~c.isin(NA_TOKENS), c)
 
 
+def whole_number(c: Column) -> Column:
+    """Int of a cell's text, null where it is missing, an error for anything else."""
+    number = null_if_missing(c).cast("double")
+    whole = F.when(number == F.floor(number), strict_label(number))
+    bad = F.raise_error(F.concat(F.lit("not a whole number: "), c)).cast("int")
+    return F.when(number.isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(whole, bad))
+
+
 def _csv(spark: SparkSession, path: str, multi_line: bool):
     return (
         spark.read.option("header", True)
@@ -54,24 +50,27 @@ def read_claims(
     """``(claim, label)`` of a labelled CSV; other columns of the file are ignored.
 
     Undecodable bytes become U+FFFD, missing-value texts become null, and a
-    label that is not a number is an error. Quoted newlines need ``multi_line``,
+    label that is not a whole number is an error. Quoted newlines need ``multi_line``,
     which makes each file one task: convert once with ``write_claims`` and read
     Parquet from then on.
     """
     raw = _csv(spark, path, multi_line).csv(path)  # all strings, names from the header
     claim, label = columns
-    number = null_if_missing(F.col(label)).cast("double")
     return raw.select(
-        null_if_missing(F.col(claim)).alias("claim"), strict_label(number).alias("label")
+        null_if_missing(F.col(claim)).alias("claim"), whole_number(F.col(label)).alias("label")
     )
 
 
 def read_enriched_posts(
     spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = True
 ) -> DataFrame:
-    """Named columns of an enriched-post CSV; never by position in the query."""
-    return (
-        _csv(spark, path, multi_line).schema(ENRICHED_SCHEMA).csv(path).select(*columns)
+    """Named columns of an enriched-post CSV, found by the header and not by position.
+
+    A count that is not a whole number is an error.
+    """
+    raw = _csv(spark, path, multi_line).csv(path)
+    return raw.select(
+        *[whole_number(F.col(c)).alias(c) if c in COUNT_COLUMNS else F.col(c) for c in columns]
     )
 
 

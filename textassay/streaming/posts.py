@@ -72,8 +72,13 @@ def rejected_posts(parsed: DataFrame) -> DataFrame:
 
 
 def without_repeats(posts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop a post sent again within ``delay``; state older than that is released."""
-    return posts.withWatermark("submitted", delay).dropDuplicatesWithinWatermark(["post_id"])
+    """Drop a post that arrives again within ``delay``; state older than that is released.
+
+    The clock is the arrival of the micro-batch, not the date that the sender
+    wrote: no post is too late, whatever its date.
+    """
+    arrived = posts.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return arrived.dropDuplicatesWithinWatermark(["post_id"]).drop("_arrived")
 
 
 def constant_classifier(state: str = "TRUE") -> Callable[[DataFrame], DataFrame]:
@@ -143,12 +148,24 @@ def publish_batches(
 
 def score_posts(
     raw: DataFrame, classify: Callable[[DataFrame], DataFrame], out: str
-) -> tuple[StreamingQuery, StreamingQuery]:
-    """Reports to ``out/reports`` and dead letters to ``out/rejected``."""
-    parsed = parse_posts(raw)
-    good = publish_files(
-        reports(valid_posts(parsed), classify), f"{out}/reports", f"{out}/checkpoints/reports"
-    )
-    dead_lines = rejected_posts(parsed).select(F.to_json(F.struct("*")).alias("value"))
-    dead = publish_files(dead_lines, f"{out}/rejected", f"{out}/checkpoints/rejected")
-    return good, dead
+) -> StreamingQuery:
+    """Reports to ``out/reports`` and dead letters to ``out/rejected``.
+
+    Each micro-batch is read and parsed once for both. Both sinks have a folder
+    per batch, which a repeated batch overwrites, so every post is in exactly one of
+    them, once.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            sinks = {
+                "reports": reports(valid_posts(batch), classify).select("value"),
+                "rejected": rejected_posts(batch).select(F.to_json(F.struct("*")).alias("value")),
+            }
+            for name, lines in sinks.items():
+                lines.write.mode("overwrite").text(f"{out}/{name}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return publish_batches(parse_posts(raw), write, f"{out}/checkpoint")
