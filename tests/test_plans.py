@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textassay.operators import splits, tfidf
 from textassay.plans import classifiers, evaluation, preprocess, projection, tuning
-from textassay.plans.features import fit_vectors, selected_terms
+from textassay.plans.features import fit_vectors, term_buckets
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +23,8 @@ def claims(spark):
 
 
 def test_vectors_equal_the_long_form(spark, claims):
-    model, stored = fit_vectors(claims, ["doc_id"], width=1000, selected=True)
-    names = selected_terms(model)
+    model, stored = fit_vectors(claims, ["doc_id"], width=1 << 14, named=True)
+    names = {r["bucket"]: r["term"] for r in term_buckets(claims, 1 << 14).collect()}
     again = model.transform(claims).select("doc_id", "features")
     assert sorted(map(str, stored.collect())) == sorted(map(str, again.collect()))
     wide = {}
@@ -61,15 +61,18 @@ def test_regression_learns_and_reloads(spark, claims, tmp_path):
 
 def test_forest_sweep_and_importance(spark, claims):
     rows = splits.holdout_split(claims)
-    features, stored = fit_vectors(
-        rows, ["doc_id", "split", "label"], F.col("split") == "train", 64, selected=True
+    _, stored = fit_vectors(
+        rows, ["doc_id", "split", "label"], F.col("split") == "train", 64, named=True
     )
     train, rest = stored.where("split = 'train'"), stored.where("split = 'val'")
     sweep = {r["trees"]: r["rmse"] for r in tuning.tree_count_sweep(train, rest, (2, 5), 4).collect()}
     assert set(sweep) == {2, 5} and all(0 <= v < 0.5 for v in sweep.values())
     forest = classifiers.random_forest(5, 4).fit(train)
-    top = classifiers.feature_importance(spark, forest, selected_terms(features), 3).collect()
+    terms = term_buckets(rows.where("split = 'train'"), 64)
+    top = classifiers.feature_importance(forest, terms, 3).collect()
     assert len(top) == 3 and top[0]["importance"] >= top[1]["importance"]
+    everything = classifiers.feature_importance(forest, terms, 64).collect()
+    assert sum(r["importance"] for r in everything) == pytest.approx(1.0)
 
 
 def test_sequence_model_search(spark, claims):
@@ -80,6 +83,7 @@ def test_sequence_model_search(spark, claims):
     assert results.count() == 2 == len(models)
     best = tuning.best_trial(results).first()
     assert best["val_auc"] == 1.0 and best["hashed_width"] == 64
+    assert tuning.best_model(results, models) is models[best["trial"] - 1]
     val_scores, test_scores = (
         evaluation.score(models[0], rows.where(F.col("split") == s)) for s in ("val", "test")
     )
@@ -97,14 +101,31 @@ def test_draws(spark):
         tuning.draw_trials(spark, space, "other", 1, 1)
 
 
-def test_word_limits_keep_the_limit(spark):
-    df = spark.createDataFrame([(["a"] * 5 + ["b"] * 3 + ["c"] * 3 + ["d"],)], "words array<string>")
-    assert [classifiers.word_limits(df, k) for k in (1, 2, 3, 4)] == [(5, 12), (5, 12), (3, 12), (1, 12)]
+def test_no_word_and_no_term_is_left_out(spark):
+    """A flat vocabulary, every word seen once, in both kinds of model."""
+    rows = [(i, f"alpha{i} beta{i}", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    assert term_buckets(df, 16).agg(F.sum("df")).first()[0] == 120
+    _, vectors = fit_vectors(df, ["doc_id"], width=16, named=True)
+    assert all(r["features"].numNonzeros() for r in vectors.collect())
+    words = classifiers.sequence_input(df).drop("text")
+    model = classifiers.fit_sequence_model(words, 4, 64, max_iter=2, buckets=1 << 20, partitions=2)
+    assert model.stages[1].getVectors().count() == 80
+
+
+def test_rewritten_data_is_other_data(spark, tmp_path):
+    path = str(tmp_path / "t")
+    states = []
+    for n in (5, 5, 6):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        states.append(classifiers.input_state(spark.read.parquet(path)))
+    assert len(set(states)) == 3
+    assert classifiers.input_state(spark.read.parquet(path)) == states[-1]
 
 
 def test_learning_curve(spark, claims):
     rows = splits.folds(claims)
-    _, stored = fit_vectors(rows, ["fold", "step", "label"], width=64, selected=True)
+    _, stored = fit_vectors(rows, ["fold", "step", "label"], width=64, named=True)
     curve = tuning.learning_curve(stored.cache(), classifiers.logistic_regression(120), 2, 10)
     got = {r["step"]: r["validation_mean"] for r in curve.collect()}
     assert set(got) == set(range(1, 11)) and got[10] > 0.9

@@ -9,7 +9,13 @@ from textassay.catalog.base import labelled, query, split_labelled, table
 from textassay.operators import metrics, splits
 from textassay.operators.tfidf import l2_normalise
 from textassay.plans import classifiers, evaluation, projection, tuning
-from textassay.plans.features import SELECTED_WIDTH, fit_vectors, selected_terms
+from textassay.plans.features import (
+    HASHED_WIDTH,
+    NAMED_WIDTH,
+    PLANE_WIDTH,
+    fit_vectors,
+    term_buckets,
+)
 from textassay.session import app_dir, materialise, scratch_path
 from textassay.sources import features as feature_files
 from textassay.sources.reports import training_history, write_report
@@ -27,10 +33,20 @@ def split_vectors(spark, sf_dir, **kwargs):
     return model, path
 
 
+def input_state(spark, sf_dir) -> str:
+    return classifiers.input_state(*[table(spark, sf_dir, t) for t in ("documents", "labels")])
+
+
 def fitted_regression(spark, sf_dir):
-    """The regression on its feature table, fitted once per application and folder."""
+    """The regression on its feature table, fitted once per application and state of the tables."""
     root = f"{app_dir(spark)}/models"
-    config = {"model": "logistic_regression", "c": 1.0, "max_iter": 200, "data": sf_dir}
+    config = {
+        "model": "logistic_regression",
+        "c": 1.0,
+        "max_iter": 200,
+        "width": HASHED_WIDTH,
+        "data": input_state(spark, sf_dir),
+    }
 
     def fit() -> PipelineModel:
         features, path = split_vectors(spark, sf_dir)
@@ -42,6 +58,26 @@ def fitted_regression(spark, sf_dir):
     return classifiers.load_or_fit(spark, root, config, fit), history_path(root, config)
 
 
+def fitted_forest(spark, sf_dir):
+    """The forest on named vectors, fitted once per application and state of the tables."""
+    config = {
+        "model": "random_forest",
+        "trees": 100,
+        "max_depth": 10,
+        "min_leaf": 2,
+        "seed": 42,
+        "width": NAMED_WIDTH,
+        "data": input_state(spark, sf_dir),
+    }
+
+    def fit() -> PipelineModel:
+        features, path = split_vectors(spark, sf_dir, width=NAMED_WIDTH, named=True)
+        train = feature_files.load_features(spark, path, "train")
+        return PipelineModel([*features.stages, classifiers.random_forest().fit(train)])
+
+    return classifiers.load_or_fit(spark, f"{app_dir(spark)}/models", config, fit)
+
+
 def history_path(root: str, config: dict) -> str:
     return f"{classifiers.model_path(root, config)}-history"
 
@@ -79,18 +115,17 @@ def regression_evaluation(spark, sf_dir):
 
 @query("forest_importance")
 def forest_importance(spark, sf_dir):
-    model, path = split_vectors(spark, sf_dir, width=SELECTED_WIDTH, selected=True)
-    forest = classifiers.random_forest().fit(feature_files.load_features(spark, path, "train"))
-    return classifiers.feature_importance(spark, forest, selected_terms(model))
+    """The columns that the forest uses most, by their most frequent training term."""
+    forest = fitted_forest(spark, sf_dir).stages[-1]
+    terms = term_buckets(split_labelled(spark, sf_dir).where(IN_TRAIN))
+    return classifiers.feature_importance(forest, terms)
 
 
 @query("forest_evaluation")
 def forest_evaluation(spark, sf_dir):
-    _, path = split_vectors(spark, sf_dir, width=SELECTED_WIDTH, selected=True)
-    forest = classifiers.random_forest().fit(feature_files.load_features(spark, path, "train"))
-    return metrics.classification_report(
-        evaluation.score(forest, feature_files.load_features(spark, path, "test"))
-    )
+    """The saved forest on the test rows, from text to scores."""
+    test = held_out(spark, sf_dir).where("split = 'test'")
+    return metrics.classification_report(evaluation.score(fitted_forest(spark, sf_dir), test))
 
 
 @query("tree_count_sweep")
@@ -98,7 +133,7 @@ def tree_count_sweep(spark, sf_dir):
     """RMSE by number of trees, trained on a fifth of the rows."""
     rows = splits.holdout_split(labelled(spark, sf_dir))
     keep = ("doc_id", "split", "label")
-    _, vectors = fit_vectors(rows, keep, IN_TRAIN, SELECTED_WIDTH, selected=True)
+    _, vectors = fit_vectors(rows, keep, IN_TRAIN, NAMED_WIDTH, named=True)
     return tuning.tree_count_sweep(vectors.where(IN_TRAIN), vectors.where("split = 'val'"))
 
 
@@ -107,7 +142,7 @@ def learning_curve(spark, sf_dir):
     """F1 of the forest by share of the training rows, over five folds."""
     rows = splits.folds(labelled(spark, sf_dir))
     keep = ("fold", "step", "label")
-    _, vectors = fit_vectors(rows, keep, width=SELECTED_WIDTH, selected=True)
+    _, vectors = fit_vectors(rows, keep, width=NAMED_WIDTH, named=True)
     return tuning.learning_curve(vectors, classifiers.random_forest(), parallelism=8)
 
 
@@ -130,12 +165,18 @@ def sequence_classifier(spark, sf_dir):
 
 @query("parameter_search")
 def parameter_search(spark, sf_dir):
-    """Best of four random trials of the sequence classifier."""
+    """Best of twelve random trials of the sequence classifier, saved and measured on the test split."""
     rows = split_words(spark, sf_dir)
-    results, _ = tuning.search(
-        rows.where("split = 'train'"), rows.where("split = 'val'"), trials=4
+    train, val, test = (rows.where(F.col("split") == s) for s in ("train", "val", "test"))
+    results, models = tuning.search(train, val)
+    path = scratch_path(spark, "best_trial")
+    tuning.best_model(results, models).write().save(path)
+    best = PipelineModel.load(path)
+    scores = [materialise(evaluation.score(best, part), "scores") for part in (val, test)]
+    measured = evaluation.final_test(*scores).first()
+    return tuning.best_trial(results).withColumns(
+        {name: F.lit(measured[name]) for name in ("test_auc", "test_accuracy")}
     )
-    return tuning.best_trial(results)
 
 
 @query("cluster_quality")
@@ -147,8 +188,16 @@ def cluster_quality(spark, sf_dir):
 @query("document_plane")
 def document_plane(spark, sf_dir):
     """Balanced sample of the training split in its first two singular directions."""
-    model, path = split_vectors(spark, sf_dir, width=SELECTED_WIDTH, selected=True)
+    _, path = split_vectors(spark, sf_dir, width=PLANE_WIDTH)
     train = feature_files.load_features(spark, path, "train").select("doc_id", "label", "features")
     sample = materialise(splits.balanced_sample(train), "balanced")
-    plane = projection.plane(projection.truncated_svd(sample, k=20))
+    plane = projection.plane(projection.truncated_svd(sample))
     return plane.join(sample.select("doc_id", "label"), "doc_id")
+
+
+@query("document_coordinates")
+def document_coordinates(spark, sf_dir):
+    """Every document in the first hundred singular directions of all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    _, rows = fit_vectors(docs, ("doc_id",), width=PLANE_WIDTH)
+    return projection.truncated_svd(rows)

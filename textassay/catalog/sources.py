@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textassay.catalog.base import HEDGES_SQL, LABELLED, MAXLEN, labelled, query, table, words_sql
+from textassay.catalog.base import (
+    HEDGES_SQL,
+    LABELLED,
+    MAXLEN,
+    labelled,
+    query,
+    sql_text,
+    table,
+    words_sql,
+)
 from textassay.catalog.evaluation import ERRORS, scored
 from textassay.catalog.features import TFIDF, tfidf_features
 from textassay.catalog.text import TRAIN_WORDS
+from textassay.functions import text as tx
 from textassay.operators import errors, joins, ordered, profiles
 from textassay.plans.preprocess import preprocess
 from textassay.session import scratch_path
@@ -43,9 +53,12 @@ def processed_dataset(spark, sf_dir):
 
 @query(
     "enriched_posts",
-    f"""SELECT lang AS misinformation_type,
+    f"""SELECT text AS content, lang AS misinformation_type,
   CAST(len(list_filter({words_sql("lower(text)")}, lambda w: list_contains({HEDGES_SQL}, w)))
-    AS INTEGER) AS hedge_words_count FROM documents""",
+    AS INTEGER) AS hedge_words_count,
+  CAST(len(regexp_extract_all(text, {sql_text(tx.SYMBOL_PATTERN)})) AS INTEGER) AS symbols,
+  CAST(len(list_filter({words_sql("text")}, lambda w: regexp_matches(w,
+    {sql_text(tx.CAPS_PATTERN)}))) AS INTEGER) AS all_caps FROM documents""",
 )
 def enriched_posts(spark, sf_dir):
     path = scratch_path(spark, "enriched_csv")
@@ -61,8 +74,12 @@ def enriched_posts(spark, sf_dir):
         "hedge_words_count",
         "symbols",
         "all_caps",
-    ).write.option("header", True).option("escape", '"').csv(path)
-    return claims.read_enriched_posts(spark, path, ["misinformation_type", "hedge_words_count"])
+    ).write.options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    return claims.read_enriched_posts(
+        spark, path, ["content", "misinformation_type", *claims.COUNT_COLUMNS]
+    )
 
 
 @query("preview_rows", "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 5")

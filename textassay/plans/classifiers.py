@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 
 from textassay.functions.text import clean_text, sequence_words
 from textassay.operators import metrics
-from textassay.operators.ordered import running_totals
-from textassay.operators.vocab import word_counts
-from textassay.session import materialise, shuffle_partitions
+from textassay.session import materialise
 
 
 def logistic_regression(n_rows: int, c: float = 1.0, max_iter: int = 200, **kwargs) -> LogisticRegression:
@@ -56,15 +54,6 @@ def sequence_input(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("words", sequence_words(clean_text(F.col(text))))
 
 
-def word_limits(df: DataFrame, vocab_limit: int) -> tuple[int, int]:
-    """Smallest word count at which at most ``vocab_limit`` words remain; all words."""
-    by_count = word_counts(df).groupBy("n").agg(F.count("*").alias("words"))
-    totals = running_totals(by_count, [F.desc("n")], ["words"])
-    kept = F.when(F.col("cum_words") <= vocab_limit, F.col("n"))
-    least, words = totals.agg(F.min(kept), F.sum(F.col("n") * F.col("words"))).first()
-    return int(least or 1), int(words or 0)
-
-
 def fit_sequence_model(
     train: DataFrame,
     vector_size: int = 128,
@@ -72,30 +61,34 @@ def fit_sequence_model(
     reg_param: float = 1e-4,
     max_iter: int = 30,
     class_weight: bool = True,
-    vocab_limit: int = 200_000,
+    buckets: int = 1 << 17,
+    partitions: int = 8,
     seed: int = 42,
 ) -> PipelineModel:
     """Word vectors plus hashed words and word pairs, weighted logistic regression.
 
     A Spark-native stand-in for a recurrent network: word pairs carry the local
-    order. ``train`` has ``words`` and ``label``. The driver holds word vectors
-    of at most ``vocab_limit`` words; all words enter the hashed part.
+    order. ``train`` has ``words`` and ``label``. Every word enters both parts: its
+    vector is that of one of ``buckets`` hash buckets, which bounds what the driver
+    holds to ``buckets * vector_size`` numbers whatever the data. The vectors are
+    averaged over ``partitions`` shares of the rows.
     """
     if class_weight:
         weights = materialise(metrics.class_weights(train), "class_weights")
         train = train.join(weights, "label")
     else:
         train = train.withColumn("weight", F.lit(1.0))
-    min_count, n_words = word_limits(train, vocab_limit)
-    # a task per million words: every task holds a copy of all word vectors
-    parts = min(shuffle_partitions(train.sparkSession), 1 + n_words // 1_000_000)
     stages = [
+        SQLTransformer(
+            statement="SELECT *, transform(words, w -> "
+            f"CAST(pmod(xxhash64(w), {buckets}L) AS STRING)) AS _buckets FROM __THIS__"
+        ),
         Word2Vec(
-            inputCol="words",
+            inputCol="_buckets",
             outputCol="_meaning",
             vectorSize=vector_size,
-            minCount=min_count,
-            numPartitions=parts,
+            minCount=0,
+            numPartitions=partitions,
             seed=seed,
         ),
         NGram(n=2, inputCol="words", outputCol="_pairs"),
@@ -118,6 +111,22 @@ def _is_saved(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def input_state(*tables: DataFrame) -> str:
+    """Digest of path, size and time of the files that ``tables`` are read from.
+
+    For the configuration of a saved model: rewritten tables in the same folder
+    are other data. Asks the file index and the file system, reads no row.
+    """
+    seen = []
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for name in sorted(df.inputFiles()):
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
+            seen.append((name, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(json.dumps(seen).encode()).hexdigest()
+
+
 def model_path(root: str, config: dict) -> str:
     """Holds a digest of ``config``: a model of other settings is never picked up."""
     digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
@@ -134,9 +143,20 @@ def load_or_fit(
     return PipelineModel.load(path)
 
 
-def feature_importance(spark: SparkSession, forest, terms: list[str], k: int = 30) -> DataFrame:
-    """``(term, importance)`` of the ``k`` most important columns of a forest."""
-    importances = [float(x) for x in forest.featureImportances.toArray()]
-    rows = list(zip(terms, importances, strict=False))
-    table = spark.createDataFrame(rows, "term string, importance double")
-    return table.orderBy(F.desc("importance"), F.asc("term")).limit(k)
+def feature_importance(forest, terms: DataFrame, k: int = 30) -> DataFrame:
+    """``(term, importance, n_terms)`` of the ``k`` most important columns of a forest.
+
+    ``terms`` is the ``(bucket, term, df)`` table of the forest's named vectors. A
+    column shared by ``n_terms`` terms goes by the most frequent one (of equals, the
+    last by name). Columns that no tree uses are left out.
+    """
+    found = forest.featureImportances  # as long as the vectors are wide, a parameter
+    rows = [(int(i), float(x)) for i, x in zip(found.indices, found.values, strict=True)]
+    used = terms.sparkSession.createDataFrame(rows, "bucket long, importance double")
+    top = used.orderBy(F.desc("importance"), F.asc("bucket")).limit(k)
+    named = terms.join(F.broadcast(top), "bucket").groupBy("bucket").agg(
+        F.max_by("term", F.struct("df", "term")).alias("term"),
+        F.first("importance").alias("importance"),
+        F.count("*").alias("n_terms"),
+    )
+    return named.drop("bucket").orderBy(F.desc("importance"), F.asc("term"))

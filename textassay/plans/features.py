@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
     NGram,
@@ -18,13 +18,15 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from textassay.functions.stopwords import ENGLISH
 from textassay.functions.text import TERM_PATTERN
 from textassay.session import materialise
 
 HASHED_WIDTH = 1 << 18
-SELECTED_WIDTH = 1 << 11
+NAMED_WIDTH = 1 << 12  # tree learners store rows densely: 16 kB a row
+PLANE_WIDTH = 1 << 12  # the SVD then takes one pass and a driver matrix of 67 MB, not a pass a step
 
 
 def term_stages(text: str = "text") -> list[Transformer]:
@@ -42,32 +44,54 @@ def term_stages(text: str = "text") -> list[Transformer]:
     ]
 
 
+def bucket_of(term: Column, width: int) -> Column:
+    """Column number of a term in ``named`` vectors."""
+    return F.pmod(F.xxhash64(term), F.lit(width))
+
+
+def named_counter(width: int) -> list[Transformer]:
+    """Counts by :func:`bucket_of`, which a table of terms can be joined to."""
+    buckets = SQLTransformer(
+        statement=f"SELECT *, transform(_terms, t -> CAST(pmod(xxhash64(t), {width}L) AS STRING))"
+        " AS _buckets FROM __THIS__"
+    )
+    numbers = [str(i) for i in range(width)]
+    return [buckets, CountVectorizerModel.from_vocabulary(numbers, "_buckets", "_counts")]
+
+
+def term_buckets(df: DataFrame, width: int = NAMED_WIDTH, text: str = "text") -> DataFrame:
+    """``(bucket, term, df)`` of every term of ``df``."""
+    terms = PipelineModel(term_stages(text)).transform(df)
+    counted = terms.select(F.explode(F.array_distinct("_terms")).alias("term"))
+    counted = counted.groupBy("term").agg(F.count("*").alias("df"))
+    return counted.select(bucket_of(F.col("term"), width).alias("bucket"), "term", "df")
+
+
 def fit_vectors(
     df: DataFrame,
     keep: Sequence[str],
     train: Column | str | None = None,
     width: int = HASHED_WIDTH,
-    selected: bool = False,
+    named: bool = False,
     text: str = "text",
 ) -> tuple[PipelineModel, DataFrame]:
     """L2-normalised TF-IDF vectors ``features`` of all rows, fitted on ``train`` rows.
 
-    All terms hashed to ``width`` columns, or with ``selected`` the ``width``
-    most frequent terms, which keeps a name per column. Either way the width, and
+    Every term is hashed to one of ``width`` columns, none is left out; with
+    ``named`` the columns are the buckets of :func:`term_buckets`. The width, and
     with it what the driver holds, is a parameter and not a property of the data.
 
-    The text is read once (twice with ``selected``): the term counts are stored,
-    and the idf and the vectors come from them. The returned model goes from text
-    to ``features``, the returned rows have ``keep`` and ``features``.
+    The text is read once: the term counts are stored, and the idf and the
+    vectors come from them. The returned model goes from text to ``features``,
+    the returned rows have ``keep`` and ``features``.
     """
     stages = term_stages(text)
-    terms = PipelineModel(stages).transform(df)
-    if selected:
-        counter = CountVectorizer(vocabSize=width, inputCol="_terms", outputCol="_counts")
-        counter = counter.fit(terms if train is None else terms.where(train))
+    if named:
+        stages += named_counter(width)
     else:
-        counter = HashingTF(numFeatures=width, inputCol="_terms", outputCol="_counts")
-    counted = materialise(counter.transform(terms).select(*keep, "_counts"), "term_counts")
+        stages.append(HashingTF(numFeatures=width, inputCol="_terms", outputCol="_counts"))
+    counted = PipelineModel(stages).transform(df).select(*keep, "_counts")
+    counted = materialise(counted, "term_counts")
     fitted = IDF(inputCol="_counts", outputCol="_idf").fit(
         counted if train is None else counted.where(train)
     )
@@ -79,9 +103,4 @@ def fit_vectors(
     )
     unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="features")
     rows = PipelineModel([weights, unit]).transform(counted).select(*keep, "features")
-    return PipelineModel([*stages, counter, weights, unit]), rows
-
-
-def selected_terms(model: PipelineModel) -> list[str]:
-    """Term of each feature column of a ``selected`` model, by column number."""
-    return next(s.vocabulary for s in model.stages if hasattr(s, "vocabulary"))
+    return PipelineModel([*stages, weights, unit]), rows
