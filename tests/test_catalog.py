@@ -18,12 +18,14 @@ TABLES = ["benchmark", "conversations", "documents", "embeddings", "events", "la
 # one query of each kind; the rest are compared at a larger scale by the driver
 COMPARED = [
     "adjusted_rand", "axis_bounds", "balanced_sample", "best_threshold", "box_stats",
-    "classification_report", "clean_pages", "csv_claims", "density_grid", "encoded_sequences",
-    "error_examples", "error_words", "features_three_splits", "fold_summary", "learning_folds",
-    "length_stats", "metrics_by_split", "model_evaluation", "padded_sequences",
-    "published_once", "published_reports", "ranking_quality_by_split", "repair_text",
-    "run_report", "score_histogram", "shuffled_labels", "silhouette", "term_ngrams", "tfidf",
-    "vocabulary",
+    "classification_report", "clean_pages", "cluster_quality_properties", "csv_claims", "density_grid", "encoded_sequences",
+    "document_plane_properties", "error_examples", "error_words", "forest_evaluation_properties",
+    "forest_importance_properties", "features_three_splits", "fold_summary", "learning_folds",
+    "length_stats", "logistic_regression_properties", "metrics_by_split", "model_evaluation", "padded_sequences",
+    "published_once", "published_reports", "ranking_quality_by_split", "regression_scores_properties",
+    "repair_text",
+    "run_report", "score_histogram", "scored_stream_properties", "shuffled_labels",
+    "silhouette", "term_ngrams", "tfidf", "training_history_properties", "vocabulary",
 ]
 
 
