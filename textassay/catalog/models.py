@@ -1,4 +1,4 @@
-"""Fitted models over the labelled documents; no SQL equivalent exists."""
+"""Fitted models over the labelled documents; what SQL can state of them is in :mod:`textassay.catalog.properties`."""
 
 from __future__ import annotations
 
