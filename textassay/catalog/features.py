@@ -44,8 +44,7 @@ def tfidf_features(spark, sf_dir):
     """``(doc_id, split, label, term, tfidf)`` fitted on the training split."""
     docs = materialise(split_terms(spark, sf_dir), "document_terms")
     model = tfidf.fit_tfidf(docs.where("split = 'train'"))
-    rows = tfidf.transform_tfidf(docs, model)
-    return rows.join(docs.select("doc_id", "split", "label"), "doc_id")
+    return tfidf.transform_tfidf(docs, model, keep=("split", "label"))
 
 
 @query(
@@ -53,7 +52,8 @@ def tfidf_features(spark, sf_dir):
     f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM vocabulary",
 )
 def document_frequencies(spark, sf_dir):
-    train = split_terms(spark, sf_dir).where("split = 'train'")
+    # stored: the number of documents and their terms are two passes
+    train = materialise(split_terms(spark, sf_dir).where("split = 'train'"), "document_terms")
     return tfidf.document_frequencies(train).withColumn("idf", F.round("idf", 6))
 
 

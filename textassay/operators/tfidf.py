@@ -7,6 +7,7 @@ the vocabulary.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -26,9 +27,9 @@ def document_terms(df: DataFrame, text: str = "text", **kwargs) -> DataFrame:
     return df.withColumn("terms", terms(F.col(text), **kwargs)).drop(text)
 
 
-def term_frequencies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, term, tf)``, counted inside each row: no shuffle."""
-    counted = docs.select(key, F.inline_outer(count_repeats(ngrams(F.col("terms")))))
+def term_frequencies(docs: DataFrame, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """``(key, *keep, term, tf)``, counted inside each row: no shuffle."""
+    counted = docs.select(key, *keep, F.inline_outer(count_repeats(ngrams(F.col("terms")))))
     return counted.where(F.col("term").isNotNull())
 
 
@@ -65,17 +66,21 @@ def fit_tfidf(
     return TfidfModel(vocabulary, hot_keys(vocabulary, "term", "df", limit=hot_limit))
 
 
-def transform_tfidf(docs: DataFrame, model: TfidfModel, key: str = "doc_id") -> DataFrame:
-    """``(key, term, tfidf)`` with each document scaled to L2 norm 1.
+def transform_tfidf(
+    docs: DataFrame, model: TfidfModel, key: str = "doc_id", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(key, *keep, term, tfidf)`` with each document scaled to L2 norm 1.
 
-    Terms outside the vocabulary drop out in the join.
+    Terms outside the vocabulary drop out in the join. Narrow columns of the
+    document that the result needs travel with its terms as ``keep``, which saves
+    a join back.
     """
     weighted = lookup_join(
-        term_frequencies(docs, key), model.vocabulary.select("term", "idf"), "term", key,
+        term_frequencies(docs, key, keep), model.vocabulary.select("term", "idf"), "term", key,
         "inner", model.hot,
-    ).select(key, "term", (F.col("tf") * F.col("idf")).alias("_w"))
+    ).select(key, *keep, "term", (F.col("tf") * F.col("idf")).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("_w") / norm).alias("tfidf"))
+    return weighted.select(key, *keep, "term", (F.col("_w") / norm).alias("tfidf"))
 
 
 def l2_normalise(df: DataFrame, values: str = "embedding") -> DataFrame:
