@@ -233,6 +233,36 @@ def test_near_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_keep_chains_and_bridges_whole(spark, monkeypatch):
+    """One component needs links between vectors that both have a smaller neighbour."""
+    turn = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    chain = [0, 60, 20, 40]
+    clumps = [*(120 + np.arange(9) / 10), *(141 + np.arange(9) / 10), 240, 180, 200, 220]
+    data = np.array([turn(x) for x in [*chain, *clumps]])
+    rng = np.random.default_rng(4)
+    linked = data @ data.T >= 0.93
+    label = np.arange(len(data))
+    for _ in data:
+        label = np.array([label[row].min() for row in linked])
+    assert label[:4].tolist() == [0] * 4 and len(set(label)) < 4
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "vec_id bigint, embedding array<double>")
+    for size in (1024, 4):  # all in one block, and over pairs of blocks
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", size)
+        found = {r["vec_id"]: r for r in vectors.near_vectors(df, threshold=0.93).collect()}
+        for i in range(len(data)):
+            assert found[i]["component_id"] == label[i] and found[i]["n_links"] == linked[i].sum() - 1
+    mask = rng.random((30, 40)) < 0.04
+    halves = list(vectors._spanning([(np.arange(30), mask), (np.arange(30, 70), mask.T)]))
+    edges = [(n + first, int(p)) for first, (some, to) in zip((0, 30), halves) for n, p in zip(some.tolist(), to) if n + first != p]
+    assert all(mask[min(e), max(e) - 30] for e in edges)
+    group = list(range(70))
+    for a, b in edges:
+        assert group[a] != group[b]  # a forest: no edge closes a ring
+        group = [group[a] if g == group[b] else g for g in group]
+    assert all(group[a] == group[30 + b] for a, b in np.argwhere(mask))
+
+
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

@@ -89,6 +89,32 @@ def _assign(unique: DataFrame, centres: dict[int, np.ndarray], threshold: float)
     return unique.mapInArrow(run, f"{fields}, size int, cell int, near array<int>")
 
 
+def _spanning(sides: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each side its linked places, and beside each the node it is reached from.
+
+    ``sides`` has the nodes of each side and their links with the other one; a single side is linked
+    with itself. A breadth-first search, a level at a time: a component of m nodes gets m - 1 edges,
+    and the node it starts from is reached from itself.
+    """
+    waiting = [mask.any(axis=1) for _, mask in sides]
+    some = [np.flatnonzero(own) for own in waiting]
+    parents = [nodes.copy() for nodes, _ in sides]
+    for start in some[0]:
+        level, turn = np.array([start]), 0
+        if not waiting[0][start]:
+            continue
+        waiting[0][start] = False
+        while len(level):
+            nodes, mask = sides[turn]
+            turn = (turn + 1) % len(sides)
+            near = mask[level] & waiting[turn]
+            reached = np.flatnonzero(near.any(axis=0))
+            parents[turn][reached] = nodes[level[near[:, reached].argmax(axis=0)]]
+            waiting[turn][reached] = False
+            level = reached
+    return zip(some, (own[at] for own, at in zip(parents, some)))
+
+
 def _compare(table: pa.Table, threshold: float) -> pa.Table:
     """Links inside one pair of blocks: for each linked node its links and a node it reaches."""
     side = np.asarray(table.column("side"))
@@ -99,19 +125,17 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     right = left if within else np.flatnonzero(side == 1)
     linked = rows[left] @ rows[right].T >= threshold
     if within:
+        linked |= linked.T  # the two products of a pair may differ in the last place
         np.fill_diagonal(linked, False)
-    found, links, leaders = [], [], []
-    for own, mask in ((left, linked), (right, linked.T))[: 1 if within else 2]:
+    sides = [(left, linked), (right, linked.T)][: 1 if within else 2]
+    found, links, reached = [], [], []
+    for (own, mask), (some, parents) in zip(sides, _spanning([(node[own], mask) for own, mask in sides])):
         other = right if own is left else left
-        some = np.flatnonzero(mask.any(axis=1))
-        if len(some):
-            found.append(node[own[some]])
-            links.append(mask[some] @ copies[other])
-            # for a spanning set of edges each node names the least node it is linked with
-            names = np.where(mask[some], node[other][None, :], np.iinfo(np.int64).max)
-            leaders.append(names.min(axis=1))
+        found.append(node[own[some]])
+        links.append(mask[some] @ copies[other])
+        reached.append(parents)
     join = lambda x: np.concatenate(x) if x else np.array([], np.int64)
-    return pa.table({"node": join(found), "links": join(links), "other": join(leaders)})
+    return pa.table({"node": join(found), "links": join(links), "other": join(reached)})
 
 
 def _link(
@@ -172,7 +196,7 @@ def near_vectors(
     cells of a spherical k-means fitted on a bounded sample, and cells are cut
     into blocks of about ``BLOCK_ROWS``. A vector goes to the blocks of those cells that can hold
     a vector linked with it; a task compares two blocks in one product. What comes out are
-    counts and at most one edge per vector, block pair and side, not pairs. Clustered vectors meet few
+    counts and a spanning forest of each block pair's links, not pairs. Clustered vectors meet few
     cells; for vectors without any structure no exact method can leave out many.
     """
     finite = F.forall(
