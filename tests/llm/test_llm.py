@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from textassay.llm import (  # noqa: E402
-    boilerplate, bpe, chat, chunks, fingerprint, language, packing, pii, simhash, vectors,
+    boilerplate, bpe, chat, chunks, fingerprint, language, overlap, packing, pii, simhash, vectors,
 )
 from textassay.llm.components import connected_components  # noqa: E402
 from textassay.llm.queries import ORACLES, QUERIES  # noqa: E402
@@ -163,6 +163,47 @@ def test_large_blocks_lose_no_link(spark, monkeypatch):
     assert {p: found.get(p, p) for p in prints} == label
 
 
+def _edited_texts():
+    """Texts of 300 words, and beside each a copy with 1 to 12 words replaced; a chain; a text of its own."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    out = []
+    for n in range(60):
+        words = [word() for _ in range(300)]
+        out.append(" ".join(words))
+        for at in rng.choice(300, 1 + n % 12, replace=False):
+            words[at] = word()
+        out.append(" ".join(words))
+    words = [word() for _ in range(300)]
+    for at in range(0, 60, 10):
+        out.append(" ".join(words))
+        words[at : at + 25] = [word() for _ in range(25)]
+    return [*out, " ".join(word() for _ in range(300)), "", None, "one two"]
+
+
+def _shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+
+
+def test_pipeline_near_dedup_reaches_similarity(spark, monkeypatch):
+    import corpus_pipeline
+
+    texts = _edited_texts()
+    sets = [_shingles(t) for t in texts]
+    linked = np.array([[5 * len(a & b) >= 4 * len(a | b) for a in sets] for b in sets])
+    label = np.arange(len(sets))
+    for _ in sets:
+        label = np.array([label[row].min() for row in linked])
+    rows = [(i, t, "x", None, 0) for i, t in enumerate(texts)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for size in (2048, 2):
+        monkeypatch.setattr(overlap, "BUCKET_ROWS", size)
+        kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+        assert kept == sorted(set(label.tolist())) and len(kept) < len(texts) - 30
+
+
 def test_substring_dedup(spark, odd):
     rng = np.random.default_rng(2)
     words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
