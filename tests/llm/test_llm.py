@@ -149,6 +149,16 @@ def test_simhash(spark, sf_dir, texts, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("module", [simhash, overlap])
+def test_rows_are_kept_by_row_not_by_key(spark, module):
+    """A text of its own under the key of a near copy stays; copies without a key go."""
+    first, second, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, first), (2, first), (2, second), (None, first), (None, third), (None, third), (3, second), (3, third)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(map(tuple, module.keep_representatives(docs).collect()))
+    assert kept == [(1, first), (2, second), (3, third)]
+
+
 def test_large_blocks_lose_no_link(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(0, 2**62, 6)]

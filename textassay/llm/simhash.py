@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textassay.llm.components import connected_components, slices
+from textassay.llm.components import connected_components, one_row_each, slices
 from textassay.session import materialise
 
 SEED = 42
@@ -217,18 +217,11 @@ def near_duplicates(
 
 
 def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` without the rows that are near-duplicates of a row with a smaller key.
+    """One row of each group of near-duplicates: the one with the least key, null keys last.
 
-    Rows with a null key stay. Of rows that repeat a key one stays.
+    Rows are numbered, so rows that share a key, or have none, are each judged by their own text.
     """
-    found = near_duplicates(docs, key, text, **settings)
-    dropped = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(dropped, key, "left_anti")
-    repeated = materialise(
-        found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key),
-        "repeated_keys",
-    )
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, key, "left_semi").dropDuplicates([key])
-    return kept.join(repeated, key, "left_anti").unionByName(again)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered_rows")
+    groups = near_duplicates(rows, "_row", text, **settings)
+    named = rows.join(groups.select("_row", F.col("component_id").alias("_group")), "_row")
+    return one_row_each(named, "_group", key, "_row").select(*docs.columns)
