@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.llm import boilerplate, bpe, chat, chunks, fingerprint, language, packing, pii, simhash, vectors
-from textassay.session import materialise, spread
+from textassay.llm import (
+    boilerplate, bpe, chat, chunks, fingerprint, language, packing, pii, simhash, vectors, warc,
+)
+from textassay.session import materialise, scratch_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,3 +181,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+WARC_SQL = """
+WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digests AS (
+  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, payload, sha1(payload) AS hex FROM bodies),
+marked AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id,
+    translate(array_to_string(list_transform(range(0, 8),
+      lambda i: to_base(CAST('0x' || substr(hex, 5 * i + 1, 5) AS BIGINT), 32, 4)), ''),
+      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM digests)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM marked
+"""
+
+
+@query("op13_warc_archive", WARC_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spread(read(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.archive(pages), path)
+    return warc.resolve(materialise(warc.read_warc(spark, path, payloads=False).drop("header"), "records_read"))
