@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textassay.llm import (
     boilerplate, bpe, chat, chunks, fingerprint, language, negatives, packing, pii, simhash,
-    vectors, warc,
+    spelling, vectors, warc,
 )
 from textassay.session import materialise, scratch_path, spread
 
@@ -215,6 +215,59 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", moved))
 
 
+WORDS_SQL = """
+WITH RECURSIVE bytes AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS steps),
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS tf FROM found WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (SELECT *, hex(encode(concat(doc_id, ':', run))) AS code FROM counted),
+hashed AS (
+  SELECT run, tf, xor(list_reduce(
+    list_transform(range(0, length(code) // 2), lambda i: CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS h
+  FROM coded, bytes),
+cut AS (
+  SELECT tf, CASE WHEN h % 199 = 0
+    THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+  FROM hashed),
+words AS (
+  SELECT word, CAST(sum(tf) AS BIGINT) AS n FROM cut
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(tf) >= 5),
+shorter AS (
+  SELECT word, n, i AS place, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n
+  FROM shorter a JOIN shorter b ON a.place = b.place AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n
+  FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+    CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form,
+    CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+chains AS (
+  SELECT word, word AS last, 0 AS step FROM forms
+  UNION ALL
+  SELECT c.word, f.form, c.step + 1 FROM chains c JOIN forms f ON f.word = c.last WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(last, step) AS root FROM chains GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+@query("op12_spelling_variants", WORDS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.vocabulary(documents(spark, sf_dir, "doc_id", "text")))
+
+
 WARC_SQL = """
 WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 digests AS (
