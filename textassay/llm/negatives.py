@@ -71,6 +71,10 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(lists), -1)
 
 
+def _unpacked(packed, rows: int, size: int) -> np.ndarray:
+    return np.frombuffer(packed, np.int64).reshape(rows, size)
+
+
 def _place(rows: DataFrame, bits: int = HILBERT_BITS) -> DataFrame:
     """``rows`` with ``curve``, the place of their vector; cells are the quarters of a common normal spread.
 
@@ -186,7 +190,7 @@ def _read_zones(chunks: DataFrame, zones: DataFrame, needed: Callable) -> DataFr
                 row = {n: one.column(n)[0].as_py() for n in one.schema.names if n != "zones"}
                 entries = one.column("zones").flatten()
                 low, high = _matrix(entries.field("low")), _matrix(entries.field("high"))
-                anchors = np.frombuffer(row["vectors"], np.int64).reshape(-1, row["size"])
+                anchors = _unpacked(row["vectors"], len(row["keys"]), row["size"])
                 up, down = np.maximum(anchors, 0), np.minimum(anchors, 0)
                 least = products(up, low) + products(down, high)
                 most = products(up, high) + products(down, low)
@@ -224,8 +228,8 @@ def _score(pairs: DataFrame, chunks: DataFrame, blocks: DataFrame, pick: Callabl
                 }
                 size = row["size"]
                 rows = len(one.column("c_keys")[0])
-                candidates = np.frombuffer(one.column("c_vectors")[0].as_buffer(), np.int64).reshape(rows, size)
-                anchors = np.frombuffer(row["vectors"], np.int64).reshape(-1, size)
+                candidates = _unpacked(one.column("c_vectors")[0].as_buffer(), rows, size)
+                anchors = _unpacked(row["vectors"], len(row["keys"]), size)
                 need = np.asarray(row["need"])
                 scores = products(anchors[need], candidates)
                 found = pick(row, need, scores, whole("c_keys"), whole("c_labels"), whole("c_places"))
@@ -319,7 +323,7 @@ def hard_negatives(
             floor[entry["position"]] = entry["score"]
         return most >= floor[:, None]
 
-    pairs = _read_zones(chunks.select("chunk", "size", "vectors").join(floors, "chunk", "left"), zones, reaches)
+    pairs = _read_zones(chunks.select("chunk", "size", "keys", "vectors").join(floors, "chunk", "left"), zones, reaches)
     found = best_positives(materialise(pairs, "positive_blocks"), "positives")
     windows = found.groupBy("chunk").agg(
         F.array_distinct(F.collect_list(F.struct("position", "score"))).alias("windows")
@@ -350,7 +354,7 @@ def hard_negatives(
         kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    wanted = chunks.select("chunk", "size", "vectors").join(windows, "chunk")
+    wanted = chunks.select("chunk", "size", "keys", "vectors").join(windows, "chunk")
     pairs = materialise(_read_zones(wanted, zones, meets), "negative_blocks")
     scored = _score(pairs, chunks.join(windows, "chunk"), blocks, window, NEGATIVE)
     order = [F.desc("negative_score"), F.asc("negative_id"), F.asc("place")]
