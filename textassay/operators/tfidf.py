@@ -91,3 +91,12 @@ def l2_normalise(df: DataFrame, values: str = "embedding") -> DataFrame:
     return df.withColumn("_norm", norm).withColumn(
         values, F.transform(doubles, lambda x: x / F.col("_norm"))
     ).drop("_norm")
+
+
+def document_norms(docs: DataFrame, model: TfidfModel, key: str = "doc_id") -> DataFrame:
+    """``(key, norm)``: length of each document's unscaled TF-IDF vector; documents without known terms are left out."""
+    weighted = lookup_join(
+        term_frequencies(docs, key), model.vocabulary.select("term", "idf"), "term", key, "inner", model.hot
+    )
+    squared = F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")
+    return weighted.groupBy(key).agg(F.sqrt(F.sum(squared)).alias("norm"))

@@ -160,3 +160,11 @@ def feature_importance(forest, terms: DataFrame, k: int = 30) -> DataFrame:
         F.count("*").alias("n_terms"),
     )
     return named.drop("bucket").orderBy(F.desc("importance"), F.asc("term"))
+
+
+def term_importance(forest, names: list[str], spark: SparkSession, k: int = 30) -> DataFrame:
+    """``(term, importance)`` of the ``k`` terms that a forest over named terms uses most; unused ones are left out."""
+    found = forest.featureImportances  # as long as the list of selected terms
+    rows = [(names[i], float(x)) for i, x in zip(found.indices, found.values, strict=True)]
+    table = spark.createDataFrame(rows, "term string, importance double")
+    return table.orderBy(F.desc("importance"), F.asc("term")).limit(k)

@@ -10,6 +10,7 @@ from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
     HashingTF,
+    Interaction,
     NGram,
     Normalizer,
     RegexTokenizer,
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textassay.functions.stopwords import ENGLISH
-from textassay.functions.text import TERM_PATTERN
+from textassay.functions.text import TERM_PATTERN, ngrams
+from textassay.operators.tfidf import TfidfModel, document_norms
 from textassay.session import materialise
 
 HASHED_WIDTH = 1 << 18
@@ -104,3 +106,29 @@ def fit_vectors(
     unit = Normalizer(p=2.0, inputCol="_weighted", outputCol="features")
     rows = PipelineModel([weights, unit]).transform(counted).select(*keep, "features")
     return PipelineModel([*stages, weights, unit]), rows
+
+
+def selected_vectors(
+    docs: DataFrame, vectoriser: TfidfModel, selected: DataFrame, keep: Sequence[str], key: str = "doc_id"
+) -> tuple[list[str], DataFrame]:
+    """The selected terms in column order, and ``keep`` with ``features``: their TF-IDF, scaled by whole documents.
+
+    ``docs`` has a ``terms`` array; ``selected`` is a bounded table of terms (see
+    :func:`textassay.operators.selection.select_terms`). Vectors are sparse and made in the JVM; a
+    document's length is that over all terms, not over the selected ones.
+    """
+    known = selected.join(vectoriser.vocabulary.select("term", "idf"), "term").orderBy("term").collect()
+    names = [r["term"] for r in known]
+    norms = materialise(document_norms(docs, vectoriser, key), "norms")
+    scale = F.coalesce(F.lit(1.0) / F.col("norm"), F.lit(0.0))
+    rows = docs.join(norms, key, "left").select(
+        *keep, ngrams(F.col("terms")).alias("_terms"), scale.alias("_scale")
+    )
+    stages = [
+        CountVectorizerModel.from_vocabulary(names, "_terms", "_counts"),
+        Interaction(inputCols=["_scale", "_counts"], outputCol="_scaled"),
+        ElementwiseProduct(
+            scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="_scaled", outputCol="features"
+        ),
+    ]
+    return names, PipelineModel(stages).transform(rows).select(*keep, "features")
