@@ -409,6 +409,30 @@ def silhouette(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(float(value)), 6).alias("silhouette"))
 
 
+EUCLIDEAN = """WITH e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings ORDER BY md5(concat(vec_id, ':42')), vec_id LIMIT %s),
+d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n
+  FROM e a CROSS JOIN e b GROUP BY a.vec_id, a.label, b.label),
+ab AS (SELECT vec_id, max(CASE WHEN own = other AND n > 1 THEN total / (n - 1) END) AS a,
+    min(CASE WHEN own <> other THEN total / n END) AS b FROM d GROUP BY vec_id)
+SELECT count(*) AS n,
+  round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab"""
+
+
+@query("euclidean_silhouette", EUCLIDEAN.replace(" LIMIT %s", ""))
+def euclidean_silhouette(spark, sf_dir):
+    """Mean silhouette by plain distance of the labels taken as clusters, over all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rounded(clusters.euclidean_silhouette(rows, "vec_id", "label", "embedding", rows=None), "silhouette")
+
+
+@query("sampled_silhouette", EUCLIDEAN % "400")
+def sampled_silhouette(spark, sf_dir):
+    """The same on a seeded sample, the operator's bounded mode."""
+    rows = table(spark, sf_dir, "embeddings")
+    return rounded(clusters.euclidean_silhouette(rows, "vec_id", "label", "embedding", rows=400), "silhouette")
+
+
 @query(
     "box_stats",
     f"""WITH counts AS (

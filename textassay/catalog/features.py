@@ -15,7 +15,7 @@ from textassay.catalog.base import (
     terms_sql,
 )
 from textassay.operators import profiles, tfidf
-from textassay.session import materialise
+from textassay.session import materialise, scratch_path
 
 TERMS = f"""{SPLIT}, tokens AS (SELECT doc_id, split, label, {terms_sql("text")} AS w FROM split),
 grams AS (SELECT doc_id, split, label, {ngrams_sql("w")} AS g FROM tokens),
@@ -67,6 +67,19 @@ def tfidf_rows(spark, sf_dir):
     )
 
 
+@query(
+    "saved_tfidf",
+    f"WITH {TFIDF} SELECT doc_id, split, label, term, round(tfidf, 6) AS tfidf FROM tfidf WHERE split <> 'train'",
+)
+def saved_tfidf(spark, sf_dir):
+    """Rows outside the training split, by a vectoriser that was saved and loaded again."""
+    docs = materialise(split_terms(spark, sf_dir), "document_terms")
+    path = scratch_path(spark, "vectoriser")
+    tfidf.save_tfidf(tfidf.fit_tfidf(docs.where("split = 'train'")), path)
+    rows = tfidf.transform_tfidf(docs.where("split <> 'train'"), tfidf.load_tfidf(spark, path), keep=("split", "label"))
+    return rows.select("doc_id", "split", "label", "term", F.round("tfidf", 6).alias("tfidf"))
+
+
 @query(
     "unit_embeddings",
     """WITH e AS (

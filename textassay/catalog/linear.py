@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from textassay.catalog.base import ngrams_sql, query, split_labelled, table, terms_sql, texts
@@ -228,3 +229,19 @@ def term_forest_evaluation(spark, sf_dir):
     _, rows, forest = term_forest(spark, sf_dir)
     return metrics.classification_report(evaluation.score(forest, rows.where("split = 'test'")))
 
+
+@query(
+    "selected_vectors",
+    f"""WITH {TFIDF}, {CHI_SQUARED[len(TERMS) + 1:]}, chosen AS (
+  SELECT term FROM chi_squared ORDER BY round(chi2, 9) DESC, df DESC, term LIMIT 1000)
+SELECT doc_id, split, label, term, round(tfidf, 6) AS value FROM tfidf WHERE term IN (FROM chosen)""",
+)
+def selected_vector_rows(spark, sf_dir):
+    """What the forest reads: the selected terms' entries, one row per document and term."""
+    docs, scored = chi_squared(spark, sf_dir)
+    vectoriser = tfidf.fit_tfidf(docs.where("split = 'train'"))
+    keep = ("doc_id", "split", "label")
+    names, rows = selected_vectors(docs, vectoriser, selection.select_terms(scored), keep)
+    table = spark.createDataFrame(list(enumerate(names)), "at int, term string")
+    entries = rows.select(*keep, F.posexplode(vector_to_array("features")).alias("at", "value")).where("value <> 0")
+    return entries.join(F.broadcast(table), "at").select(*keep, "term", F.round("value", 6).alias("value"))

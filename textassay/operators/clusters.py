@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textassay.session import materialise, sized
+
 
 def _pairs(n: Column) -> Column:
     """Pairs among ``n`` things; double, so that large groups can not overflow."""
@@ -29,3 +35,75 @@ def adjusted_rand(df: DataFrame, label: str = "label", cluster: str = "cluster")
     expected = F.when(whole > 0, rows * columns / whole).otherwise(F.lit(0.0))
     top, bottom = F.col("cells") - expected, (rows + columns) / 2 - expected
     return sums.select(F.when(bottom != 0, top / bottom).otherwise(F.lit(1.0)).alias("ari"))
+
+
+BLOCK_ROWS = 1024  # vectors that are compared at once
+
+
+def euclidean_silhouette(
+    df: DataFrame, key: str, cluster: str, vector: str, rows: int | None = 10_000, seed: int = 42
+) -> DataFrame:
+    """One row ``(n, silhouette)``: the mean silhouette by plain Euclidean distance.
+
+    Every vector is compared with every other, so by default only the ``rows`` rows of least seeded hash take part;
+    with ``None`` all do. Vectors of a cluster are packed into blocks of about ``BLOCK_ROWS``; a task has one
+    pair of blocks and gives sums of distances per vector. A cluster of one counts 0. Rows without a
+    vector or cluster are left out; with fewer than two clusters the value is null.
+    """
+    kept = df.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull()).select(
+        F.col(cluster).alias("cluster"), F.col(vector).cast("array<double>").alias("vector"), F.col(key).alias("_key")
+    )
+    order = F.md5(F.concat(F.col("_key").cast("string"), F.lit(f":{seed}")))
+    if rows is not None:
+        kept = kept.orderBy(order, "_key").limit(rows)
+    kept = materialise(kept.withColumn("row", F.monotonically_increasing_id()), "silhouette_rows")
+    sizes = materialise(kept.groupBy("cluster").agg(F.count("*").alias("size")), "cluster_sizes")
+    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / F.lit(BLOCK_ROWS)))
+    packed = kept.join(sized(sizes), "cluster").groupBy("cluster", "size", part.alias("part")).agg(
+        F.collect_list("row").alias("rows"), F.collect_list("vector").alias("vectors")
+    )
+    blocks = materialise(packed.drop("part").withColumn("block", F.monotonically_increasing_id()), "vector_blocks")
+    ids = materialise(blocks.select("block").withColumn("all", F.lit(0)), "block_numbers")
+    pairs = ids.join(ids.withColumnRenamed("block", "other"), "all").select("block", "other")
+    right = blocks.select(
+        F.col("block").alias("other"), F.col("cluster").alias("o_cluster"), F.col("size").alias("o_size"),
+        F.col("vectors").alias("o_vectors"),
+    )
+    joined = pairs.join(blocks, "block").join(right, "other")
+    kinds = dict(blocks.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                matrix = lambda name: np.array(one.column(name)[0].values.flatten()).reshape(
+                    len(one.column(name)[0]), -1
+                )
+                a, b = matrix("vectors"), matrix("o_vectors")
+                squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
+                distances = np.sqrt(np.maximum(squares, 0))
+                if one.column("block")[0].as_py() == one.column("other")[0].as_py():
+                    np.fill_diagonal(distances, 0)
+                numbers = one.column("rows")[0].values
+                same = [len(numbers)]
+                repeat = lambda name: one.column(name).take(pa.array([0] * same[0]))
+                yield pa.RecordBatch.from_arrays(
+                    [numbers, *map(repeat, ("cluster", "size", "o_cluster", "o_size")), pa.array(distances.sum(axis=1))],
+                    names=["row", "cluster", "size", "o_cluster", "o_size", "total"],
+                )
+
+    kind = kinds["cluster"]
+    sums = joined.select("block", "other", "rows", "vectors", "o_vectors", "cluster", "size", "o_cluster", "o_size")
+    sums = sums.mapInArrow(
+        run, f"row bigint, cluster {kind}, size bigint, o_cluster {kind}, o_size bigint, total double"
+    )
+    per = sums.groupBy("row", "cluster", "size", "o_cluster", "o_size").agg(F.sum("total").alias("total"))
+    own = F.col("cluster") == F.col("o_cluster")
+    each = per.groupBy("row").agg(
+        F.max(F.when(own & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("o_size"))).alias("b"),
+    )
+    a, b = F.col("a"), F.col("b")
+    far = F.greatest(a, b)
+    value = F.when(b.isNotNull(), F.when(a.isNull() | (far == 0), F.lit(0.0)).otherwise((b - a) / far))
+    return each.agg(F.count("*").alias("n"), F.avg(value).alias("silhouette"))

@@ -7,15 +7,16 @@ the vocabulary.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textassay.functions.text import count_repeats, ngrams, terms
 from textassay.operators.joins import hot_keys, lookup_join
-from textassay.session import materialise
+from textassay.session import materialise, shuffle_partitions
 
 
 def document_terms(df: DataFrame, text: str = "text", **kwargs) -> DataFrame:
@@ -100,3 +101,41 @@ def document_norms(docs: DataFrame, model: TfidfModel, key: str = "doc_id") -> D
     )
     squared = F.col("tf") * F.col("idf") * F.col("tf") * F.col("idf")
     return weighted.groupBy(key).agg(F.sqrt(F.sum(squared)).alias("norm"))
+
+
+def save_tfidf(model: TfidfModel, path: str, buckets: int | None = None) -> None:
+    """Store a fitted vectoriser below ``path``: its vocabulary in buckets of terms, its frequent terms, a manifest.
+
+    The manifest is written last, so half a model is never loaded. A bucketed vocabulary is joined without being
+    shuffled. ``buckets`` defaults to the shuffle partitions.
+    """
+    spark = model.vocabulary.sparkSession
+    buckets = buckets or shuffle_partitions(spark)
+    # a table name is the only way to buckets; the files are at ``path`` and the name goes again
+    name = f"tfidf_{uuid.uuid4().hex}"
+    columns = model.vocabulary.select("term", "df", "idf")
+    columns.write.option("path", f"{path}/vocabulary").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    if model.hot is not None:
+        model.hot.write.mode("overwrite").parquet(f"{path}/hot")
+    manifest = spark.createDataFrame([(FORMAT, buckets, model.hot is not None)], MANIFEST)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+FORMAT = 1
+MANIFEST = "format int, buckets int, hot boolean"
+
+
+def load_tfidf(spark: SparkSession, path: str) -> TfidfModel:
+    """The vectoriser saved at ``path``; its vocabulary knows its buckets."""
+    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
+    if manifest is None or manifest["format"] != FORMAT:
+        raise ValueError(f"no vectoriser of format {FORMAT} at {path}")
+    name = f"tfidf_{uuid.uuid4().hex}"
+    place = path.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} (term STRING, df BIGINT, idf DOUBLE) USING parquet "
+        f"CLUSTERED BY (term) SORTED BY (term) INTO {manifest['buckets']} BUCKETS LOCATION '{place}/vocabulary'"
+    )
+    hot = spark.read.schema("term string, _salts int").parquet(f"{path}/hot") if manifest["hot"] else None
+    return TfidfModel(spark.table(name), hot)
