@@ -17,8 +17,8 @@ def chi_squared(docs: DataFrame, label: str = "label") -> DataFrame:
     """
     docs = docs.where(F.col(label).isNotNull())
     classes = sorted(r[0] for r in docs.select(label).distinct().collect())  # a row per class
-    sizes = docs.agg(*[F.count_if(F.col(label) == c).alias(f"n{i}") for i, c in enumerate(classes)]).first()
-    total = sum(sizes) if classes else 0
+    sizes = docs.agg(*[F.count_if(F.col(label) == c) for c in classes], F.count("*")).first()
+    total = sizes[-1]
     each = docs.select(label, F.explode_outer(F.array_distinct(ngrams(F.col("terms")))).alias("term"))
     counted = each.where(F.col("term").isNotNull()).groupBy("term").agg(
         F.count("*").alias("df"), *[F.count_if(F.col(label) == c).alias(f"c{i}") for i, c in enumerate(classes)]
