@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textassay import session
 from textassay.operators import (
     clusters, curves, errors, joins, metrics, ordered, profiles, setops, splits, tfidf, vocab,
 )
@@ -140,14 +141,41 @@ def test_vocabulary_and_encoding(spark):
     assert rows(padded, "doc_id", "seq") == [(1, [2, 3]), (2, [2, 1]), (3, [0, 0])]
 
 
-def test_hot_words_are_salted_without_changing_the_result(spark):
+def test_hot_words_are_salted_without_changing_the_result(spark, monkeypatch):
     data = [(i, ["hot"] * 3 + [f"w{i % 7}", f"rare{i}"]) for i in range(200)]
     df = spark.createDataFrame(data, "doc_id long, words array<string>")
     v = vocab.store_vocabulary(vocab.build_vocabulary(df.where("doc_id < 150")))
     hot = joins.hot_keys(v, "word", "n", limit=10)
     assert {r["word"] for r in hot.collect()} == {"hot"} | {f"w{i}" for i in range(7)}
-    plain = vocab.encode(df, v)
-    assert rows(vocab.encode(df, v, hot_limit=10), "doc_id", "seq") == rows(plain, "doc_id", "seq")
+    plain = rows(vocab.encode(df, v), "doc_id", "seq")
+    small = vocab.encode(df, v, hot_limit=10)
+    assert "BroadcastHashJoin" in plan_of(small) and rows(small, "doc_id", "seq") == plain
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    salted = vocab.encode(df, v, hot_limit=10)
+    assert "SortMergeJoin" in plan_of(salted) and "_salt" in plan_of(salted)
+    assert rows(salted, "doc_id", "seq") == plain
+    kept = vocab.encode_padded(df.withColumn("split", F.lit("x")), v, 3, keep=["split"])
+    assert plan_of(kept).count("Join") == 1 and kept.columns == ["doc_id", "split", "seq"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bytes_", [1 << 20, 0])
+def test_measures_travel_and_texts_do_not(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", bytes_)
+    data = [(i, f"some text {i}") for i in range(20)] + [(90, None)]
+    docs = session.materialise(spark.createDataFrame(data, "doc_id long, text string"), "docs")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 30, 2)] + [(1, None), (90, 1)], "doc_id long, quality int")
+    labels = session.materialise(labels, "labels")
+    found = joins.attach_measure(docs, labels, F.length("text"))
+    assert rows(found, "doc_id", "measure", "label") == [(i, len(f"some text {i}"), 0) for i in range(0, 20, 2)]
+    sent = [line for line in plan_of(found).splitlines() if "Exchange hashpartitioning" in line]
+    assert ("BroadcastHashJoin" in plan_of(found)) == bool(bytes_)
+    assert bool(sent) == (not bytes_)
+    below = plan_of(found).split("Exchange hashpartitioning")[1:2]
+    assert not below or "length(text" in below[0]
 
 
 def terms_frame(spark):
@@ -156,7 +184,8 @@ def terms_frame(spark):
 
 
 @pytest.mark.parametrize("limit", [None, 1])
-def test_tfidf(spark, limit):
+def test_tfidf(spark, monkeypatch, limit):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0 if limit else 1 << 20)
     docs = terms_frame(spark)
     model = tfidf.fit_tfidf(docs, hot_limit=limit)
     assert (model.hot is None) == (limit is None)

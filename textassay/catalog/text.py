@@ -29,7 +29,7 @@ from textassay.catalog.base import (
 from textassay.functions import labels as lab
 from textassay.functions import text as tx
 from textassay.operators import metrics, profiles, vocab
-from textassay.operators.joins import attach_labels
+from textassay.operators.joins import attach_labels, attach_measure
 from textassay.session import materialise
 
 
@@ -38,6 +38,13 @@ def cleaned_sequences(df: DataFrame) -> DataFrame:
     return df.withColumn("words", tx.sequence_words(tx.clean_text(F.col("text")))).drop("text")
 
 
+def sequence_lengths(spark, sf_dir) -> DataFrame:
+    """Words of each labelled text after cleaning."""
+    length = F.size(tx.sequence_words(tx.clean_text(F.col("text"))))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    return attach_measure(docs, table(spark, sf_dir, "labels"), length).select(F.col("measure").alias("length"))
+
+
 @query(
     "recommended_length",
     f"""WITH {LABELLED}, lengths AS (
@@ -47,8 +54,7 @@ SELECT least(greatest(v, 32), 512) AS recommended_maxlen, CAST(95 AS DOUBLE) AS
   v AS raw_percentile_value FROM raw""",
 )
 def recommended_length(spark, sf_dir):
-    lengths = cleaned_sequences(labelled(spark, sf_dir)).select(F.size("words").alias("length"))
-    return profiles.recommended_length(lengths)
+    return profiles.recommended_length(sequence_lengths(spark, sf_dir))
 
 
 @query(
@@ -63,8 +69,7 @@ SELECT count(*) AS count, min(length) AS min, round(avg(length), 6) AS mean,
 FROM lengths""",
 )
 def length_stats(spark, sf_dir):
-    lengths = cleaned_sequences(labelled(spark, sf_dir)).select(F.size("words").alias("length"))
-    return profiles.length_stats(lengths).withColumn("mean", F.round("mean", 6))
+    return profiles.length_stats(sequence_lengths(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
 @query(
@@ -349,7 +354,6 @@ FROM split s LEFT JOIN seqs q ON s.doc_id = q.doc_id""",
 )
 def padded_sequences(spark, sf_dir):
     rows, vocabulary = _train_vocabulary(spark, sf_dir)
-    seqs = vocab.encode_padded(rows, vocabulary, MAXLEN)
-    return rows.select("doc_id", "split", "label").join(seqs, "doc_id").select(
-        "doc_id", "split", "label", F.array_join("seq", ",").alias("seq")
-    )
+    keep = ("split", "label")
+    seqs = vocab.encode_padded(rows, vocabulary, MAXLEN, keep=keep)
+    return seqs.select("doc_id", *keep, F.array_join("seq", ",").alias("seq"))

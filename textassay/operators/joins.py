@@ -5,10 +5,10 @@ Rows are aligned on ``doc_id`` everywhere; nothing depends on row positions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textassay.session import materialise, shuffle_partitions, sized
+from textassay.session import is_small, materialise, shuffle_partitions
 
 
 def attach_labels(
@@ -20,6 +20,21 @@ def attach_labels(
     return left.join(right, key)
 
 
+def attach_measure(
+    documents: DataFrame, labels: DataFrame, measure: Column, label: str = "quality", key: str = "doc_id"
+) -> DataFrame:
+    """``(doc_id, measure, label)`` of the labelled texts, without sending a text through a shuffle.
+
+    Few labels are broadcast to the texts, and only labelled texts are measured. Where
+    there are too many, every text is measured where it is read and the measure is joined.
+    """
+    right = labels.select(key, F.col(label).alias("label")).where(F.col("label").isNotNull())
+    left = documents.select(key, "text").where(F.col("text").isNotNull())
+    if is_small(right):
+        return left.join(F.broadcast(right), key).select(key, measure.alias("measure"), "label")
+    return left.select(key, measure.alias("measure")).join(right.hint("merge"), key)
+
+
 def attach_text(predictions: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return predictions.join(documents.select(key, "text"), key)
 
@@ -56,13 +71,16 @@ def lookup_join(
 ) -> DataFrame:
     """Join many rows to a stored table that is unique on ``key``.
 
-    A table small enough is broadcast, see :func:`textassay.session.sized`.
-    With ``hot`` (see :func:`hot_keys`) the rows of a hot key are spread over
+    A table small enough is broadcast, see :func:`textassay.session.is_small`, whatever its
+    keys: nothing is shuffled then. A larger one is sort-merge joined; with
+    ``hot`` (see :func:`hot_keys`) the rows of a hot key are spread over
     its salts by the hash of ``spread_on``, and only the hot entries of
     ``table`` are repeated once per salt. All other keys keep salt 0.
     """
+    if is_small(table):
+        return rows.join(F.broadcast(table), key, how)
     if hot is None:
-        return rows.join(sized(table), key, how)
+        return rows.join(table.hint("merge"), key, how)
     salts = F.coalesce("_salts", F.lit(1))
     left = rows.join(hot, key, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(spread_on), salts).cast("int")

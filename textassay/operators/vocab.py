@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,28 +48,39 @@ def word_indices(
 
 def encode(
     df: DataFrame, vocabulary: DataFrame, words: str = "words", key: str = "doc_id",
-    hot_limit: int | None = None,
+    hot_limit: int | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(key, seq)`` for every row of ``df``; no words gives an empty array."""
-    indexed = word_indices(df, vocabulary, words, key, hot_limit)
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "idx")))
-    seqs = indexed.groupBy(key).agg(F.transform(pairs, lambda p: p["idx"]).alias("seq"))
-    empty = F.array().cast("array<int>")
-    return df.select(key).join(seqs, key, "left").select(key, F.coalesce("seq", empty).alias("seq"))
+    """``(key, *keep, seq)`` for every row of ``df``; no words gives an empty array.
+
+    Narrow columns that the result needs travel with the words as ``keep``, and a row without words as a
+    place without a word, so nothing is joined back after the grouping.
+    """
+    exploded = df.select(key, *keep, F.posexplode_outer(words).alias("pos", "word"))
+    # a place of its own for each row without words: null keys would all meet in one task
+    nothing = F.concat(F.lit("\x00"), F.col(key).cast("string"))
+    looked_up = exploded.withColumns(
+        {"_is_word": F.col("word").isNotNull(), "word": F.coalesce("word", nothing, F.lit("\x00"))}
+    )
+    hot = hot_keys(vocabulary, "word", "n", limit=hot_limit)
+    table = vocabulary.select("word", F.col("idx").cast("int").alias("idx"))
+    found = lookup_join(looked_up, table, "word", key, "left", hot)
+    place = F.when(F.col("_is_word"), F.struct("pos", F.coalesce("idx", F.lit(OOV)).alias("idx")))
+    pairs = F.array_sort(F.collect_list(place))
+    return found.groupBy(key, *keep).agg(F.transform(pairs, lambda p: p["idx"]).alias("seq"))
 
 
 def encode_padded(
     df: DataFrame, vocabulary: DataFrame, maxlen: int, words: str = "words", key: str = "doc_id",
-    hot_limit: int | None = None,
+    hot_limit: int | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(key, seq)`` cut or zero-filled at the end to ``maxlen``.
+    """``(key, *keep, seq)`` cut or zero-filled at the end to ``maxlen``.
 
     Positions past ``maxlen`` can not reach the result, so they are removed
     before the words are joined rather than after.
     """
-    kept = df.select(key, F.slice(words, 1, maxlen).alias(words))
-    seqs = encode(kept, vocabulary, words, key, hot_limit)
-    return seqs.select(key, pad_sequence(F.col("seq"), maxlen).alias("seq"))
+    kept = df.select(key, *keep, F.slice(words, 1, maxlen).alias(words))
+    seqs = encode(kept, vocabulary, words, key, hot_limit, keep)
+    return seqs.select(key, *keep, pad_sequence(F.col("seq"), maxlen).alias("seq"))
 
 
 def store_vocabulary(vocabulary: DataFrame) -> DataFrame:

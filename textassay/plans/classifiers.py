@@ -54,6 +54,9 @@ def sequence_input(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("words", sequence_words(clean_text(F.col(text))))
 
 
+SHARE_ROWS = 50_000
+
+
 def fit_sequence_model(
     train: DataFrame,
     vector_size: int = 128,
@@ -62,7 +65,7 @@ def fit_sequence_model(
     max_iter: int = 30,
     class_weight: bool = True,
     buckets: int = 1 << 17,
-    partitions: int = 8,
+    partitions: int | None = None,
     seed: int = 42,
 ) -> PipelineModel:
     """Word vectors plus hashed words and word pairs, weighted logistic regression.
@@ -71,8 +74,9 @@ def fit_sequence_model(
     order. ``train`` has ``words`` and ``label``. Every word enters both parts: its
     vector is that of one of ``buckets`` hash buckets, which bounds what the driver
     holds to ``buckets * vector_size`` numbers whatever the data. The vectors are
-    averaged over ``partitions`` shares of the rows.
+    averaged over ``partitions`` shares of the rows, by default one for 50,000 rows and eight at least.
     """
+    partitions = partitions or max(8, -(-train.count() // SHARE_ROWS))
     if class_weight:
         weights = materialise(metrics.class_weights(train), "class_weights")
         train = train.join(weights, "label")
@@ -115,15 +119,15 @@ def input_state(*tables: DataFrame) -> str:
     """Digest of path, size and time of the files that ``tables`` are read from.
 
     For the configuration of a saved model: rewritten tables in the same folder
-    are other data. Asks the file index and the file system, reads no row.
+    are other data. ``tables`` are plain scans; a job over their files' metadata
+    adds up two hashes per file, so the driver sees one row per table.
     """
     seen = []
     for df in tables:
-        context = df.sparkSession.sparkContext
-        for name in sorted(df.inputFiles()):
-            path = context._jvm.org.apache.hadoop.fs.Path(name)
-            status = path.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(path)
-            seen.append((name, status.getLen(), status.getModificationTime()))
+        file = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        each = F.sha2(F.to_json(F.struct(*file.columns)), 256)
+        halves = [F.conv(F.substring(each, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+        seen.append([str(x) for x in file.agg(F.count("*"), *map(F.sum, halves)).first()])
     return hashlib.sha256(json.dumps(seen).encode()).hexdigest()
 
 

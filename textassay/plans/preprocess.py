@@ -47,8 +47,7 @@ def preprocess(
     rows = materialise(stratified_split(used, seed=seed), "split_words")
     vocabulary = vocab.build_vocabulary(rows.where("split = 'train'"))
     vocabulary = vocab.store_vocabulary(vocabulary)
-    seqs = vocab.encode_padded(rows, vocabulary, maxlen)
-    sequences = rows.select("doc_id", "split", "label").join(seqs, "doc_id")
+    sequences = vocab.encode_padded(rows, vocabulary, maxlen, keep=("split", "label"))
     return Preprocessed(sequences, vocabulary, run_report(marked, rows, vocabulary, maxlen, source))
 
 

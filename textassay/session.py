@@ -88,22 +88,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sized(table: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """``table`` with the join strategy that its measured size allows.
+BROADCAST_BYTES = 64 << 20  # of the rows of a table, at most
 
-    For joins whose other side is exploded: Catalyst does not know how many rows
-    an explode makes and would take that side for the small one. A stored table
-    whose rows take up to ``max_bytes`` is broadcast, any other is sort-merge
-    joined. The row count comes from the Parquet footers, so a table too long to
-    qualify is never read.
+
+def is_small(table: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether a stored table's rows take up to ``max_bytes``, by default ``BROADCAST_BYTES``.
+
+    The row count comes from the Parquet footers, so a table too long to qualify is never read.
     """
+    limit = BROADCAST_BYTES if max_bytes is None else max_bytes
     fixed = 16 * len(table.columns)
-    rows = table.count()
-    if rows * fixed > max_bytes:
-        return table.hint("merge")
+    if table.count() * fixed > limit:
+        return False
     texts = [F.octet_length(name) for name, kind in table.dtypes if kind == "string"]
     measured = table.agg(F.sum(sum(texts, F.lit(fixed))).alias("bytes")).first()["bytes"] or 0
-    return F.broadcast(table) if measured <= max_bytes else table.hint("merge")
+    return measured <= limit
+
+
+def sized(table: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``table`` with the join strategy that its measured size allows.
+
+    For joins whose other side is exploded: Catalyst does not know how many rows
+    an explode makes and would take that side for the small one. A small table (see
+    :func:`is_small`) is broadcast, any other is sort-merge joined.
+    """
+    return F.broadcast(table) if is_small(table, max_bytes) else table.hint("merge")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
