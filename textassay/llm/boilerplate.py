@@ -9,7 +9,7 @@ from textassay.operators.joins import hot_keys, lookup_join
 from textassay.session import materialise
 
 RATIO = 0.05
-MIN_PAGES = 5
+MIN_PAGES = 2  # a line of one page repeats nowhere; from there on the ratio decides
 
 
 def _lines(text: Column) -> Column:
@@ -41,7 +41,7 @@ def boilerplate_lines(
     """``(_host, _ids)``: ids, one after the other, of the lines of each host that over ``ratio`` of its pages contain.
 
     A line counts once per page however often it stands there, and only if at least
-    ``min_pages`` pages have it. Counts are combined before the shuffle by host and
+    ``min_pages`` pages have it, so a host of one page loses nothing. Counts are combined before the shuffle by host and
     line, so no host meets in one task. A host has fewer such lines than the average page has
     lines, divided by ``ratio``.
     """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textassay.llm.components import slices
 
 SAMPLE_BYTES = 48_000  # labelled text per language that the automata are built from
-DOC_CHARS = 2_000  # of one document, so that no document fills the sample
+DOC_CHARS = 2_000  # of one labelled document, from a place that its key decides, so that none fills the sample
 LANE = 512  # symbols that one lane parses; a longer text takes several lanes
 UNKNOWN = "und"
 _SPACE = 32
@@ -154,12 +154,17 @@ def sample_languages(
     """For each label the symbols of a bounded sample of its texts.
 
     Rows are drawn by the hash of the key, at a rate that gives each language
-    about twice ``sample_bytes``; the driver cuts them there. Rows without a text or
-    a label, and labels without any letter in their texts, do not count.
+    about twice ``sample_bytes``; the driver cuts them there. Of a longer text ``DOC_CHARS`` characters are drawn
+    that begin at any place, chosen by another hash of the key; equal pieces count once. Rows
+    without a text or a label, and labels without any letter in their texts, do not count. Repeated rows
+    are drawn together and count once. An empty table gives no samples.
     """
-    part = F.substring(F.col(text), 1, DOC_CHARS)
+    name = F.col(key).cast("string")
+    places = F.greatest(F.char_length(text) - (DOC_CHARS - 1), F.lit(1))
+    begin = F.pmod(F.xxhash64(name, F.lit("place")), places).cast("int") + 1
+    part = F.substr(F.col(text), begin, F.lit(DOC_CHARS))
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), part.alias("part"), F.xxhash64(F.col(key).cast("string")).alias("h")
+        F.col(lang).alias("lang"), part.alias("part"), F.xxhash64(name).alias("h")
     )
     totals = rows.groupBy("lang").agg(F.sum(F.octet_length("part")).alias("octets")).collect()
     rate: Column = F.lit(0.0)
@@ -172,7 +177,8 @@ def sample_languages(
         texts.setdefault(row["lang"], []).append((row["h"], row["part"]))
     out = []
     for name in sorted(texts):
-        codes, _ = symbols(pa.array([t for _, t in sorted(texts[name])]))
+        pieces = dict.fromkeys(t for _, t in sorted(texts[name]))
+        codes, _ = symbols(pa.array(list(pieces)))
         if np.any(codes != _SPACE):
             out.append((name, codes[:sample_bytes].tobytes()))
     return tuple(out)

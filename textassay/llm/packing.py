@@ -19,7 +19,8 @@ from textassay.llm.components import slices
 
 WINDOW = 2048
 PIECE = 512  # longest piece of a document's rest; short pieces fill windows evenly
-GROUP = 512  # pieces that are partitioned together
+GROUP = 64 * WINDOW  # tokens, about, that are partitioned together
+GROUP_PIECES = 1 << 15  # and pieces at most, whatever their length; bounds memory
 END_ID = 1
 CACHED_UNITS = 250_000  # units whose ids a Python worker remembers
 
@@ -178,7 +179,8 @@ def pack(
     piece's place; a sequence is filled from 0 without gaps).
 
     A document is its ids followed by ``END_ID``; null and empty texts are that id
-    alone. Rows are packed where they are read, ``group`` pieces at a time, so
+    alone. Rows are packed where they are read, in groups of ``group`` tokens (of very
+    short pieces ``GROUP_PIECES``), so
     nothing is shuffled, memory is bounded by a group, and a repeated task gives
     whole sequences again. Sequences are numbered within the task; the task's number is
     in the upper bits. Rows with the same key are separate documents. An empty
@@ -189,6 +191,7 @@ def pack(
         encoder = unit_encoder(tokenizer)
         next_id = TaskContext.get().partitionId() << 33
         rows: list[list] = []  # key, start, ids, doc_tokens of short pieces
+        held = 0  # their tokens
         end = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
             whole = []
@@ -202,11 +205,12 @@ def pack(
                         next_id += 1
                     else:
                         rows.append(row)
-                if len(rows) >= group:
+                        held += length
+                if held >= group or len(rows) >= GROUP_PIECES:
                     yield _placed(rows, next_id, window)
                     next_id += len(rows)
-                    rows = []
-                if len(whole) >= 4 * group:
+                    rows, held = [], 0
+                if len(whole) >= 2048:
                     yield _batch(whole)
                     whole = []
             if whole:

@@ -68,7 +68,7 @@ counts AS (
   SELECT host, line, count(DISTINCT doc_id) AS n FROM each WHERE trim(line) <> '' GROUP BY host, line),
 frequent AS (
   SELECT host, line, true AS hit FROM counts JOIN totals USING (host)
-  WHERE n >= 5 AND n > CAST(0.05 AS DOUBLE) * pages)
+  WHERE n >= 2 AND n > CAST(0.05 AS DOUBLE) * pages)
 SELECT doc_id,
   coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE hit IS NULL), '') AS text,
   count(*) AS n_lines, count(hit) AS n_dropped
