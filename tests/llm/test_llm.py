@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -225,12 +226,19 @@ def test_pipeline_near_dedup_reaches_similarity(spark, monkeypatch):
     rows = [(i, t, "x", None, 0) for i, t in enumerate(texts)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     docs = spark.createDataFrame(rows, schema).repartition(3)
-    for size in (2048, 2):
-        monkeypatch.setattr(overlap, "BUCKET_ROWS", size)
+    for size in (1 << 18, 300):
+        monkeypatch.setattr(overlap, "BUCKET_SHINGLES", size)
         kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
         assert kept == sorted(set(label.tolist())) and len(kept) < len(texts) - 30
 
 
+def test_near_dedup_keeps_columns_of_any_name(spark, odd):
+    docs = odd.withColumns({n: F.lit(n) for n in ("component", "_node", "_row", "_group", "id")})
+    found = overlap.keep_representatives(docs)
+    assert found.columns == docs.columns and found.count() == overlap.keep_representatives(odd).count()
+    assert {r["_node"] for r in found.collect()} == {"_node"}
+
+
 def test_substring_dedup(spark, odd):
     rng = np.random.default_rng(2)
     words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,9 +138,15 @@ class CrossParser:
         return out
 
 
-@lru_cache(maxsize=2)
+_held: dict[tuple, CrossParser] = {}
+
+
 def _parser(samples: tuple[tuple[str, bytes], ...]) -> CrossParser:
-    return CrossParser(samples)
+    """The parser of these samples; a worker holds one, and lets go of it before it makes another."""
+    if samples not in _held:
+        _held.clear()
+        _held[samples] = CrossParser(samples)
+    return _held[samples]
 
 
 def sample_languages(

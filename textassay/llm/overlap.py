@@ -18,8 +18,9 @@ WIDTH = 5
 PERCENT = 80  # least Jaccard of a link
 BANDS = 30  # a pair at 0.8 misses all bands of 6 with probability 0.738 ** 30, one in 9,000
 BAND_ROWS = 6
-BUCKET_ROWS = 2048  # distinct documents of a bucket that one task compares at once
+BUCKET_SHINGLES = 1 << 18  # shingles, about, of the documents of a bucket in one of the two chunks a task compares
 _STEP = 1024  # shingles permuted at once
+_PRIVATE = ("_node", "_bands", "_size", "_row", "_component", "_group")
 
 _random = np.random.default_rng(SEED)
 _FACTORS = _random.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,7 +49,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _with_nodes(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """``docs`` with ``_node``, equal for equal shingle sets, and ``_bands``, empty for empty sets."""
+    """``docs`` with ``_node``, equal for equal shingle sets, ``_bands``, empty for empty sets, and ``_size``."""
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,27 +58,35 @@ def _with_nodes(docs: DataFrame, text: str, width: int) -> DataFrame:
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
             bands = [band_keys(x) if len(x) else np.array([], np.int64) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nodes.view(np.int64)), _lists(bands)],
-                names=[*batch.schema.names, "_node", "_bands"],
+                [*batch.columns, pa.array(nodes.view(np.int64)), _lists(bands), pa.array([len(x) for x in sets], pa.int64())],
+                names=[*batch.schema.names, "_node", "_bands", "_size"],
             )
 
     from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-    added = [StructField("_node", LongType()), StructField("_bands", ArrayType(LongType()))]
+    added = [
+        StructField("_node", LongType()), StructField("_bands", ArrayType(LongType())), StructField("_size", LongType())
+    ]
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """``(bucket, chunks, node)``: the nodes of each bucket, of those with the same nodes one."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
+    """``(bucket, chunks, node)``: the nodes of each bucket, of those with the same nodes one.
+
+    A bucket has as many chunks as its documents' shingles fill, whatever their number and length.
+    """
+    keyed = nodes.select("node", "size", F.posexplode("bands").alias("band", "value"))
     group = ["band", "value"]
     shared = (
         keyed.groupBy(*group)
-        .agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all"))
+        .agg(
+            F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all"),
+            F.sum("size").alias("size"),
+        )
         .where("n > 1")
-        .groupBy("n", "least", "all")
+        .groupBy("n", "least", "all", "size")
         .agg(F.min(F.struct(*group)).alias("at"))
-        .select("at.*", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("chunks"))
+        .select("at.*", F.least("n", F.ceil(F.col("size") / BUCKET_SHINGLES)).cast("int").alias("chunks"))
     )
     found = keyed.join(materialise(shared, "buckets"), group)
     return found.select(F.struct(*group).alias("bucket"), "chunks", "node")
@@ -122,9 +131,9 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A large bucket is cut into chunks by hash and all pairs of chunks are compared, each in a task of
     its own.
     """
-    own = F.pmod(F.xxhash64("node"), "chunks").cast("int")
+    own = F.pmod(F.xxhash64("node"), F.greatest("chunks", F.lit(1))).cast("int")
     dealt = members.select(
-        "bucket", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+        "bucket", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.greatest("chunks", F.lit(1)) - 1)).alias("other")
     ).select("bucket", "node", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def run(table: pa.Table) -> pa.Table:
@@ -142,14 +151,19 @@ def keep_representatives(
 
     Two texts are linked if the Jaccard of their sets of ``width``-word shingles, counted exactly, is at
     least ``percent`` hundredths; a group is what links reach. Texts without a word are alike. Pairs
-    that no band of MinHashes brings together are not compared. Groups are of rows, so keys may repeat.
+    that no band of MinHashes brings together are not compared. Groups are of rows, so keys may repeat; of equal
+    keys the row that was stored first stays. Long texts count whole: what a task compares is bounded by
+    shingles. Columns of any name are kept; an empty table gives no rows.
     """
+    clash = {n: f"_own{i}" for i, n in enumerate(docs.columns) if n.lower() in _PRIVATE}
+    back = {v: k for k, v in clash.items()}
+    docs, key, text = docs.withColumnsRenamed(clash), clash.get(key, key), clash.get(text, text)
     kept = materialise(
         _with_nodes(docs, text, width).withColumn("_row", F.monotonically_increasing_id()), "with_nodes"
     )
     nodes = materialise(
-        kept.groupBy(F.col("_node").alias("node")).agg(F.min(F.struct("_row", "_bands")).alias("first"))
-        .select("node", "first._row", F.col("first._bands").alias("bands")),
+        kept.groupBy(F.col("_node").alias("node")).agg(F.min(F.struct("_row", "_bands", "_size")).alias("first"))
+        .select("node", "first._row", F.col("first._bands").alias("bands"), F.col("first._size").alias("size")),
         "nodes",
     )
     members = materialise(_buckets(nodes), "bucket_members")
@@ -163,6 +177,6 @@ def keep_representatives(
 
     sets = materialise(texts.mapInArrow(run, "node bigint, shingles array<bigint>"), "shingle_sets")
     parts = connected_components(materialise(_links(members, sets, percent), "shingle_links"))
-    named = kept.join(parts.withColumnRenamed("id", "_node"), "_node", "left")
-    named = named.withColumn("_group", F.coalesce("component", "_node"))
-    return one_row_each(named, "_group", key, "_row").select(*docs.columns)
+    parts = parts.select(F.col("id").alias("_node"), F.col("component").alias("_component"))
+    named = kept.join(parts, "_node", "left").withColumn("_group", F.coalesce("_component", "_node"))
+    return one_row_each(named, "_group", key, "_row").select(*docs.columns).withColumnsRenamed(back)

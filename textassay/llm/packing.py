@@ -22,7 +22,7 @@ PIECE = 512  # longest piece of a document's rest; short pieces fill windows eve
 GROUP = 64 * WINDOW  # tokens, about, that are partitioned together
 GROUP_PIECES = 1 << 15  # and pieces at most, whatever their length; bounds memory
 END_ID = 1
-CACHED_UNITS = 250_000  # units whose ids a Python worker remembers
+CACHED_UNITS = 150_000  # units whose ids a Python worker remembers
 
 #: How byte-level vocabularies split a text and write a byte.
 SPLIT_PATTERN = (
