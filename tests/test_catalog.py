@@ -25,6 +25,8 @@ COMPARED = [
     "published_once", "published_reports", "ranking_quality_by_split", "regression_scores_properties",
     "repair_text",
     "run_report", "score_histogram", "scored_stream_properties", "shuffled_labels",
+    "chi_squared_terms", "density_surface", "pair_discounts", "repaired_lengths", "repaired_report", "sampled_silhouette",
+    "saved_tfidf", "selected_vectors", "sequence_quality", "sequence_scores", "similar_passages", "term_regression_scores",
     "silhouette", "term_ngrams", "tfidf", "training_history_properties", "vocabulary",
 ]
 

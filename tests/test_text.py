@@ -100,3 +100,42 @@ def test_count_repeats(spark, given, expected):
     df = spark.createDataFrame([(given,)], "w array<string>")
     got = df.select(tx.count_repeats(F.col("w")).alias("r")).first()["r"]
     assert [tuple(r) for r in got] == expected
+
+
+def test_mojibake_is_undone_without_python(spark):
+    healthy = ["café naïve", "Größe\nÀ la carte", "日本語 Ω", "Ã© alone stays if it is é", "a\u0301 b", "plain", "", None,
+               "Ångström and Å", "x\n\ny é"]
+    rows, expected = [], []
+    for i, t in enumerate(healthy):
+        rows.append((i, t))
+        expected.append(t)
+        for rounds, table in ((1, "cp1252"), (2, "cp1252"), (1, "latin-1"), (3, "latin-1")):
+            broken = t
+            try:
+                for _ in range(rounds if t else 0):
+                    broken = broken.encode().decode(table)
+            except UnicodeError:
+                continue
+            rows.append((100 * len(rows), broken))
+            expected.append(t)
+    df = spark.createDataFrame(rows, "k int, t string")
+    import unicodedata
+
+    import textassay.functions.text as module
+
+    found = [r[0] for r in df.select(module.repair_text(F.col("t"))).collect()]
+    undone = lambda t: t if t is None else unicodedata.normalize("NFC", "\n".join(map(latin_again, t.split("\n"))))
+    assert found == [undone(t) for _, t in rows]
+    assert sum(f == (e and unicodedata.normalize("NFC", e)) for f, e in zip(found, expected)) > 0.8 * len(rows)
+
+
+def latin_again(line):
+    """Brute force of undoing: back to bytes by cp1252 or Latin-1, character by character."""
+    for _ in range(4):
+        try:
+            data = b"".join(c.encode("latin-1") if ord(c) < 256 else c.encode("cp1252") for c in line)
+            again = data.decode("utf-8")
+        except UnicodeError:
+            return line
+        line = again
+    return line

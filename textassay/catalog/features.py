@@ -130,3 +130,41 @@ def clipped_points(spark, sf_dir):
 )
 def density_grid(spark, sf_dir):
     return profiles.density_grid(points(spark, sf_dir))
+
+
+def smoothed_sql(axis: str, source: str) -> str:
+    """One axis of the Gaussian: offsets of up to 4 cells, deviation 1.5 cells."""
+    other = {"x_cell": "y_cell", "y_cell": "x_cell"}[axis]
+    return f"""SELECT label, {axis} + o AS {axis}, {other}, sum(w * k) AS w
+  FROM {source}, kernel WHERE {axis} + o BETWEEN 0 AND 31 GROUP BY ALL"""
+
+
+@query(
+    "density_surface",
+    f"""WITH {BOUNDS}, spans AS (
+  SELECT max(low) FILTER (WHERE axis = 'x') AS xl, max(high) FILTER (WHERE axis = 'x') AS xh,
+    max(low) FILTER (WHERE axis = 'y') AS yl, max(high) FILTER (WHERE axis = 'y') AS yh FROM bounds),
+placed AS (
+  SELECT label, (x - xl) / ((xh - xl) / 32) - 0.5 AS u, (y - yl) / ((yh - yl) / 32) - 0.5 AS v
+  FROM points, spans WHERE x BETWEEN xl AND xh AND y BETWEEN yl AND yh),
+corners AS (
+  SELECT label, greatest(0, least(31, CAST(floor(u) AS INTEGER) + a)) AS x_cell,
+    greatest(0, least(31, CAST(floor(v) AS INTEGER) + b)) AS y_cell,
+    (CASE a WHEN 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END)
+      * (CASE b WHEN 0 THEN 1 - (v - floor(v)) ELSE v - floor(v) END) AS w
+  FROM placed, range(2) AS s(a), range(2) AS t(b)),
+binned AS (SELECT label, x_cell, y_cell, sum(w) AS w FROM corners GROUP BY ALL),
+offsets AS (SELECT unnest(range(-4, 5)) AS o),
+kernel AS (SELECT CAST(o AS INTEGER) AS o, exp(-(o * o) / 4.5) / sum(exp(-(o * o) / 4.5)) OVER () AS k FROM offsets),
+along AS ({smoothed_sql("x_cell", "binned")}),
+smooth AS ({smoothed_sql("y_cell", "along")}),
+shares AS (SELECT label, x_cell, y_cell, w / sum(w) OVER (PARTITION BY label) AS share FROM smooth)
+SELECT label, CAST(x_cell AS INTEGER) AS x_cell, CAST(y_cell AS INTEGER) AS y_cell,
+  round(share / ((xh - xl) * (yh - yl) / 1024), 5) AS density,
+  round(sum(share) OVER (PARTITION BY label ORDER BY round(share, 9) DESC, x_cell, y_cell), 5) AS mass
+FROM shares, spans""",
+)
+def density_surface(spark, sf_dir):
+    """Smoothed density of each label's points, and the mass inside each contour."""
+    found = profiles.density_surface(points(spark, sf_dir))
+    return found.withColumns({"density": F.round("density", 5), "mass": F.round("mass", 5)})

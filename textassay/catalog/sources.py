@@ -16,7 +16,7 @@ from textassay.catalog.base import (
 )
 from textassay.catalog.evaluation import ERRORS, scored
 from textassay.catalog.features import TFIDF, tfidf_features
-from textassay.catalog.text import TRAIN_WORDS
+from textassay.catalog.text import TRAIN_WORDS, damaged
 from textassay.functions import text as tx
 from textassay.operators import errors, joins, ordered, profiles
 from textassay.plans.preprocess import preprocess
@@ -138,9 +138,7 @@ def misclassified_csv(spark, sf_dir):
     return reader.option("escape", '"').csv(path)
 
 
-@query(
-    "run_report",
-    f"""WITH {TRAIN_WORDS.replace("WHERE d.text IS NOT NULL AND l.quality IS NOT NULL", "")}
+REPORT_SQL = f"""WITH {TRAIN_WORDS.replace("WHERE d.text IS NOT NULL AND l.quality IS NOT NULL", "")}
 SELECT {MAXLEN} AS maxlen, (SELECT count(*) + 2 FROM vocabulary) AS vocab_size,
   (SELECT count(*) FROM documents d JOIN labels l ON d.doc_id = l.doc_id) AS rows_total,
   count(*) AS rows_used,
@@ -151,13 +149,28 @@ SELECT {MAXLEN} AS maxlen, (SELECT count(*) + 2 FROM vocabulary) AS vocab_size,
   count(*) FILTER (WHERE split = 'test') AS n_test,
   count(*) FILTER (WHERE split = 'train' AND label = 1) AS train_1,
   count(*) FILTER (WHERE split = 'test' AND label = 0) AS test_0
-FROM split""",
-)
+FROM split"""
+
+
+@query("run_report", REPORT_SQL)
 def run_report(spark, sf_dir):
     """The preprocessing report, written as JSON and read back."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    rows = rows.select("doc_id", "text", F.col("quality").alias("label"))
-    report = preprocess(rows, MAXLEN, repair=False).report
+    return stored_report(spark, preprocess(report_rows(rows), MAXLEN, repair=False).report)
+
+
+@query("repaired_report", REPORT_SQL)
+def repaired_report(spark, sf_dir):
+    """The same of broken texts, which are repaired before they are cleaned."""
+    rows = damaged(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id")
+    return stored_report(spark, preprocess(report_rows(rows), MAXLEN).report)
+
+
+def report_rows(rows):
+    return rows.select("doc_id", "text", F.col("quality").alias("label"))
+
+
+def stored_report(spark, report):
     path = scratch_path(spark, "report")
     reports.write_report(report, path)
     splits = F.col("splits")

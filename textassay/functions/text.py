@@ -11,6 +11,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -169,6 +170,9 @@ CONTROLS = r"[\x00-\x08\x0b\x0e-\x1f\x7f\u206a-\u206f\ufeff\ufff9-\ufffb]"
 ENTITY = r"&#?[0-9A-Za-z]{1,24};"
 
 
+UNDEFINED = (0x81, 0x8D, 0x8F, 0x90, 0x9D)  # bytes cp1252 leaves undefined
+
+
 def _repair_rare() -> Callable[[Column], Column]:
     """Arrow function for what the JVM has no expression for.
 
@@ -177,11 +181,8 @@ def _repair_rare() -> Callable[[Column], Column]:
     """
 
     # cp1252 characters back to the byte they stand for; Latin-1 ones already match
-    one_byte = {
-        ord(bytes([b]).decode("cp1252")): b
-        for b in range(0x80, 0xA0)
-        if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)  # bytes cp1252 leaves undefined
-    }
+    undefined = UNDEFINED
+    one_byte = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in undefined}
 
     def undo_mojibake(line: str) -> str:
         # re-read as UTF-8 the bytes of text decoded with a one-byte table
@@ -210,14 +211,51 @@ def _repair_rare() -> Callable[[Column], Column]:
     return repair_batch
 
 
+ROUNDS = 4  # times that a text was read with the wrong table
+
+
+def _undo_mojibake(line: Column) -> Column:
+    """Text that was decoded with a one-byte table (Latin-1 or cp1252) read again as UTF-8, while it can be.
+
+    A line is left alone unless all its characters stand for bytes and those bytes are valid UTF-8.
+    """
+    letters = {bytes([b]).decode("cp1252"): chr(b) for b in range(0x80, 0xA0) if b not in UNDEFINED}
+
+    def once(text: Column, _: Column) -> Column:
+        as_bytes = F.translate(text, "".join(letters), "".join(letters.values()))
+        again = F.try_validate_utf8(F.encode(as_bytes, "ISO-8859-1").cast("string"))
+        broken = text.rlike(r"[^\x00-\x7f]") & as_bytes.rlike(r"^[\x00-\xff]*$")
+        return F.when(broken, F.coalesce(again, text)).otherwise(text)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), line, once)
+
+
+@lru_cache(maxsize=1)
+def _not_composed() -> str:
+    """Class of the characters that composition (NFC) may change: marks, parts of syllables, and unstable ones."""
+    unstable = [n for n in range(0xA0, 0x110000) if unicodedata.normalize("NFC", chr(n)) != chr(n)]
+    spans: list[list[int]] = []
+    for n in unstable:
+        if spans and n == spans[-1][1] + 1:
+            spans[-1][1] = n
+        else:
+            spans.append([n, n])
+    listed = "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in spans)
+    return rf"[\p{{M}}\x{{1160}}-\x{{11ff}}{listed}]"
+
+
 def repair_text(c: Column) -> Column:
     """Undo mojibake, entities, curly quotes, ligatures, controls; compose (NFC).
 
-    Only rows with non-ASCII characters or an entity are sent to the Python
-    worker (the others travel as nulls); every other step is a JVM expression.
+    Mojibake is undone in the JVM, line by line. Only rows with an entity, or with a character that composition
+    may change, are sent to the Python worker (the others travel as nulls).
     """
-    needs_python = c.rlike(r"[^\x00-\x7f]") | (c.rlike(ENTITY) & ~c.contains("<"))
-    out = F.coalesce(_repair_rare()(F.when(needs_python, c)), c)
+    entities = c.rlike(ENTITY) & ~c.contains("<")
+    plain = F.when(
+        c.rlike(r"[^\x00-\x7f]") & ~entities,
+        F.array_join(F.transform(F.split(c, "\n", -1), _undo_mojibake), "\n"),
+    ).otherwise(c)
+    out = F.coalesce(_repair_rare()(F.when(entities | plain.rlike(_not_composed()), plain)), plain)
     out = F.regexp_replace(out, LINE_BREAKS, "\n")
     out = F.regexp_replace(out, CONTROLS, "")
     out = F.translate(
