@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from textassay.llm import (  # noqa: E402
-    boilerplate, bpe, chat, chunks, fingerprint, language, overlap, packing, pii, simhash, vectors,
+    boilerplate, bpe, chat, chunks, fingerprint, language, packing, pii, simhash, vectors,
 )
 from textassay.llm.components import connected_components  # noqa: E402
 from textassay.llm.queries import ORACLES, QUERIES  # noqa: E402
@@ -167,13 +167,12 @@ def test_simhash(spark, sf_dir, texts, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("module", [simhash, overlap])
-def test_rows_are_kept_by_row_not_by_key(spark, module):
+def test_rows_are_kept_by_row_not_by_key(spark):
     """A text of its own under the key of a near copy stays; copies without a key go."""
     first, second, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
     rows = [(1, first), (2, first), (2, second), (None, first), (None, third), (None, third), (3, second), (3, third)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    kept = sorted(map(tuple, module.keep_representatives(docs).collect()))
+    kept = sorted(map(tuple, simhash.keep_representatives(docs).collect()))
     assert kept == [(1, first), (2, second), (3, third)]
 
 
@@ -209,34 +208,37 @@ def _edited_texts():
     return [*out, " ".join(word() for _ in range(300)), "", None, "one two"]
 
 
-def _shingles(text):
-    words = (text or "").lower().split()
-    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+def _kept_by_simhash(texts):
+    """Brute force: the least key of each group of ``{key: text}`` linked at 4 or fewer differing bits."""
+    keys = sorted(texts)
+    prints = simhash.fingerprint_texts([texts[k] for k in keys])
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    label, before = np.arange(len(keys)), None
+    while before is None or (label != before).any():
+        before, label = label, np.array([label[row].min() for row in near], int)
+    return [keys[i] for i in sorted(set(label.tolist()))]
 
 
-def test_pipeline_near_dedup_reaches_similarity(spark, monkeypatch):
+def test_pipeline_near_dedup_by_simhash(spark, monkeypatch):
     import corpus_pipeline
 
-    texts = _edited_texts()
-    sets = [_shingles(t) for t in texts]
-    linked = np.array([[5 * len(a & b) >= 4 * len(a | b) for a in sets] for b in sets])
-    label = np.arange(len(sets))
-    for _ in sets:
-        label = np.array([label[row].min() for row in linked])
-    rows = [(i, t, "x", None, 0) for i, t in enumerate(texts)]
+    texts = dict(enumerate(_edited_texts()))
+    rows = [(i, t, "x", None, 0) for i, t in texts.items()]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     docs = spark.createDataFrame(rows, schema).repartition(3)
-    for size in (1 << 18, 300):
-        monkeypatch.setattr(overlap, "BUCKET_SHINGLES", size)
-        kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
-        assert kept == sorted(set(label.tolist())) and len(kept) < len(texts) - 30
+    wanted = _kept_by_simhash(texts)
+    assert len(texts) // 2 < len(wanted) < len(texts) - 5
+    for size in (1024, 4):
+        monkeypatch.setattr(simhash, "BUCKET_ROWS", size)
+        kept = corpus_pipeline.near_dedup(spark, docs, "")
+        assert kept.columns == corpus_pipeline.COLUMNS and sorted(r["doc_id"] for r in kept.collect()) == wanted
 
 
 def test_near_dedup_keeps_columns_of_any_name(spark, odd):
-    docs = odd.withColumns({n: F.lit(n) for n in ("component", "_node", "_row", "_group", "id")})
-    found = overlap.keep_representatives(docs)
-    assert found.columns == docs.columns and found.count() == overlap.keep_representatives(odd).count()
-    assert {r["_node"] for r in found.collect()} == {"_node"}
+    docs = odd.withColumns({n: F.lit(n) for n in ("component_id", "fingerprint", "_row", "_Group", "_key")})
+    found = simhash.keep_representatives(docs)
+    assert found.columns == docs.columns and found.count() == simhash.keep_representatives(odd).count()
+    assert {r["_Group"] for r in found.collect()} == {"_Group"}
 
 
 def test_substring_dedup(spark, odd):
@@ -444,15 +446,11 @@ def test_pipeline(spark, sf_dir, odd):
     pieces = corpus_pipeline.run(spark, sf_dir).collect()
     for row in pieces:
         assert 0 <= row["offset"] <= 2048 - row["length"]
-    # brute force of who is left: one document of each group that shares four fifths of its 5-word shingles
+    # brute force of who is left: one document of each group that SimHash links
     left = corpus_pipeline.language_id(spark, docs, sf_dir)
     lines = corpus_pipeline.line_dedup(spark, left, sf_dir).collect()
-    sets = {r["doc_id"]: _shingles(r["text"]) for r in lines}
-    label = {key: key for key in sets}
-    for _ in range(4):
-        for a in sets:
-            label[a] = min(label[b] for b in sets if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
-    assert {r["doc_id"] for r in pieces} == set(label.values()) and len(set(label.values())) > len(sets) // 2
+    wanted = _kept_by_simhash({r["doc_id"]: r["text"] for r in lines})
+    assert {r["doc_id"] for r in pieces} == set(wanted) and len(wanted) > len(lines) // 2
     empty = odd.limit(0).select(*corpus_pipeline.COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0

@@ -17,6 +17,7 @@ from textassay.session import materialise
 SEED = 42
 BITS = 64
 BUCKET_ROWS = 1024  # distinct fingerprints of a block that one task compares at once
+_PRIVATE = ("_row", "_key", "_group", "fingerprint", "component_id")
 _FLUSH = 1 << 16  # shingle hashes held before their bits are counted
 
 
@@ -219,9 +220,15 @@ def near_duplicates(
 def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """One row of each group of near-duplicates: the one with the least key, null keys last.
 
-    Rows are numbered, so rows that share a key, or have none, are each judged by their own text.
+    Rows are numbered, so rows that share a key, or have none, are each judged by their own text; of
+    equal keys the row that was stored first stays. Null, empty and blank texts are one group. Columns of
+    any name are kept; an empty table gives no rows. Texts are shuffled once, for the rows that stay.
     """
+    clash = {n: f"_own{i}" for i, n in enumerate(docs.columns) if n.lower() in _PRIVATE}
+    back = {v: k for k, v in clash.items()}
+    docs, key, text = docs.withColumnsRenamed(clash), clash.get(key, key), clash.get(text, text)
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered_rows")
-    groups = near_duplicates(rows, "_row", text, **settings)
-    named = rows.join(groups.select("_row", F.col("component_id").alias("_group")), "_row")
-    return one_row_each(named, "_group", key, "_row").select(*docs.columns)
+    groups = near_duplicates(rows, "_row", text, **settings).select("_row", F.col("component_id").alias("_group"))
+    named = rows.select("_row", F.col(key).alias("_key")).join(groups, "_row")
+    kept = materialise(one_row_each(named, "_group", "_key", "_row").select("_row"), "kept_rows")
+    return rows.join(kept, "_row", "left_semi").drop("_row").withColumnsRenamed(back)
