@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textassay.llm import boilerplate, language, overlap, pii
+from textassay.llm import boilerplate, language, pii, simhash
 from textassay.llm.queries import held_out, packed
 from textassay.session import materialise
 
@@ -37,8 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, which share four fifths of their 5-word shingles, the smallest id."""
-    return overlap.keep_representatives(docs).select(*COLUMNS)
+    """Of each group of near-duplicates by SimHash, linked at 4 or fewer differing bits, the smallest id."""
+    return simhash.keep_representatives(docs, width=4, distance=4).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
