@@ -251,11 +251,89 @@ def test_substring_dedup(spark, odd):
     assert found[0]["n_spans"] == 0 and found[0]["text"] == rows[0][1] and found[50]["removed_bytes"] == 0
     for key, text in rows[1:6]:
         row = found[key]
-        assert row["n_spans"] == 1 and row["removed_bytes"] > len(passage) // 2
+        assert row["n_spans"] == 1 and len(passage) <= row["removed_bytes"] <= len(passage) + 6
         assert len(text.encode()) - len(row["text"].encode()) == row["removed_bytes"]
         assert text.startswith(row["text"][:60]) and text.endswith(row["text"][-30:])
     kept = chunks.drop_repeats(odd).collect()
     assert len(kept) == len(ODD) and chunks.drop_repeats(odd.limit(0)).count() == 0
+    clash = chunks.drop_repeats(odd.withColumns({n: F.lit(n) for n in ("_key", "_H", "_spans", "start")}))
+    assert {(r["_key"], r["_H"], r["_spans"]) for r in clash.collect()} == {("_key", "_H", "_spans")}
+
+
+def _spans_by_hand(texts, min_repeat=chunks.MIN_REPEAT):
+    """``{key: [(start, size)]}`` of ``{key: bytes}``, one chunk and one byte after the other."""
+    first, out = {}, {}
+    for key in sorted(texts):
+        data = texts[key]
+        ends = chunks.chunk_ends(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1].tolist()
+        repeated, start = [], 0
+        for end in ends:
+            place = first.setdefault(data[start:end], (key, start))
+            if place != (key, start):
+                repeated.append((start, end, place))
+            start = end
+        hit = np.zeros(len(data) + 1, bool)
+        for i, (start, end, (other, at)) in enumerate(repeated):
+            hit[start:end] = True
+            there = texts[other]
+            if i == 0 or repeated[i - 1][1] != start:
+                n = 0
+                while n < min(start, at) and data[start - n - 1] == there[at - n - 1]:
+                    n += 1
+                while n and data[start - n] & 0xC0 == 0x80:
+                    n -= 1
+                hit[start - n : start] = True
+            if i + 1 == len(repeated) or repeated[i + 1][0] != end:
+                n, at = 0, at + end - start
+                while end + n < len(data) and at + n < len(there) and data[end + n] == there[at + n]:
+                    n += 1
+                while n and end + n < len(data) and data[end + n] & 0xC0 == 0x80:
+                    n -= 1
+                hit[end : end + n] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(int))).reshape(-1, 2).tolist()
+        out[key] = [(a, b - a) for a, b in edges if b - a >= min_repeat]
+    return out
+
+
+@pytest.mark.parametrize("edge", [256, 5])
+def test_repeated_spans_against_brute_force(spark, sf_dir, texts, monkeypatch, edge):
+    monkeypatch.setattr(chunks, "EDGE_BYTES", edge)
+    rng = np.random.default_rng(7)
+    letters = [*map(chr, range(97, 123)), "é", "ß", "日", "\U0001f642"]
+    words = lambda n: " ".join("".join(rng.choice(letters, 5)) for _ in range(n))
+    passages = [words(40) for _ in range(12)]
+    own = {100_000 + i: " ".join([words(9 + i % 7), passages[i % 12], words(5), passages[(i * 5 + 1) % 12], words(i % 3)]) for i in range(60)}
+    own |= {200_000: "é" * 900, 200_001: "a" + "é" * 700 + "b", 200_002: "", 200_003: own[100_007]}
+    held = {**{k: t or "" for k, t in texts.items()}, **own}
+    docs = spark.createDataFrame(list(held.items()), "doc_id bigint, text string").repartition(5)
+    wanted = _spans_by_hand({k: t.encode() for k, t in held.items()})
+    found = {r["doc_id"]: [(s["start"], s["size"]) for s in r["spans"]] for r in chunks.repeated_spans(docs).collect()}
+    assert found == wanted
+    # of the planted passages that stand in an earlier text too, nearly every byte goes
+    seen, lost, total = set(), 0, 0
+    for i in range(60):
+        data = own[100_000 + i].encode()
+        for n in (i % 12, (i * 5 + 1) % 12):
+            passage, before = passages[n].encode(), (n in seen)
+            seen.add(n)
+            if before:
+                at = data.index(passage)
+                covered = np.zeros(len(data), bool)
+                for start, size in found[100_000 + i]:
+                    covered[start : start + size] = True
+                total += len(passage)
+                lost += int((~covered[at : at + len(passage)]).sum())
+    assert total > 10_000 and lost < 0.05 * total
+    if edge == 256:
+        kept = {r["doc_id"]: r for r in QUERIES["op5_substring_dedup"](spark, sf_dir).collect()}
+        alone = _spans_by_hand({k: (t or "").encode() for k, t in texts.items()})
+        for key, row in kept.items():
+            data = (texts[key] or "").encode()
+            mask = np.ones(len(data), bool)
+            for start, size in alone[key]:
+                mask[start : start + size] = False
+            assert (row["text"] or "").encode() == np.frombuffer(data, np.uint8)[mask].tobytes()
+            assert row["n_spans"] == len(alone[key]) and row["removed_bytes"] == (~mask).sum()
 
 
 def test_packing(spark, sf_dir, texts, odd):
