@@ -222,7 +222,7 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Rows are numbered, so rows that share a key, or have none, are each judged by their own text; of
     equal keys the row that was stored first stays. Null, empty and blank texts are one group. Columns of
-    any name are kept; an empty table gives no rows. Texts are shuffled once, for the rows that stay.
+    any name are kept; an empty table gives no rows. Texts are shuffled once, at every size of the table.
     """
     clash = {n: f"_own{i}" for i, n in enumerate(docs.columns) if n.lower() in _PRIVATE}
     back = {v: k for k, v in clash.items()}
@@ -231,4 +231,4 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     groups = near_duplicates(rows, "_row", text, **settings).select("_row", F.col("component_id").alias("_group"))
     named = rows.select("_row", F.col(key).alias("_key")).join(groups, "_row")
     kept = materialise(one_row_each(named, "_group", "_key", "_row").select("_row"), "kept_rows")
-    return rows.join(kept, "_row", "left_semi").drop("_row").withColumnsRenamed(back)
+    return rows.join(kept.hint("merge"), "_row", "left_semi").drop("_row").withColumnsRenamed(back)
