@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from textassay.catalog.base import ngrams_sql, query, split_labelled, table, terms_sql, texts
 from textassay.catalog.features import TERMS, TFIDF, split_terms
 from textassay.catalog.models import input_state
-from textassay.operators import blocks, metrics, selection, tfidf
-from textassay.plans import classifiers, evaluation, regression, svd
+from textassay.operators import blocks, metrics, profiles, selection, tfidf
+from textassay.operators.neighbours import nearest_neighbours
+from textassay.plans import classifiers, evaluation, layout, projection, regression, svd
 from textassay.plans.features import selected_vectors
 from textassay.session import app_dir, materialise
 
@@ -149,6 +150,44 @@ def singular_coordinates(spark, sf_dir):
     return svd.term_svd(entries, keys).coordinates
 
 
+def document_neighbours(spark, sf_dir):
+    """Every document in fifty singular directions over all terms, and its nearest others there."""
+    entries, keys = unit_terms(texts(spark, sf_dir, "documents", "doc_id", "text"))
+    coordinates = svd.term_svd(entries, keys, k=50, passes=2).coordinates
+    return coordinates, nearest_neighbours(coordinates, "doc_id", "coordinates")
+
+
+def plane_of_documents(spark, sf_dir):
+    """The documents in a plane that keeps neighbours, laid out once per application and state of the tables."""
+    config = {"model": "neighbour_plane", "k": 50, "data": input_state(spark, sf_dir)}
+    path = classifiers.model_path(f"{app_dir(spark)}/models", config)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        coordinates, near = document_neighbours(spark, sf_dir)
+        layout.neighbour_plane(near, projection.plane(coordinates)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("document_neighbours")
+def neighbours_of_documents(spark, sf_dir):
+    """The fifteen nearest other documents of every document, by distance in the singular directions."""
+    return document_neighbours(spark, sf_dir)[1]
+
+
+@query("neighbour_plane")
+def neighbour_plane(spark, sf_dir):
+    """Every document in a plane that keeps its neighbours."""
+    return plane_of_documents(spark, sf_dir)
+
+
+@query("plane_density")
+def plane_density(spark, sf_dir):
+    """Smoothed density of each label's documents in that plane, clipped to its bounds."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    placed = materialise(plane_of_documents(spark, sf_dir).join(labels, "doc_id"), "placed")
+    return profiles.density_surface(placed)
+
+
 @query(
     "similar_passages",
     f"""WITH {unit_terms_sql("benchmark", "item_id")}, first AS (SELECT min(item_id) AS id FROM benchmark),

@@ -101,7 +101,9 @@ def is_small(table: DataFrame, max_bytes: int | None = None) -> bool:
     if table.count() * fixed > limit:
         return False
     texts = [F.octet_length(name) for name, kind in table.dtypes if kind == "string"]
-    measured = table.agg(F.sum(sum(texts, F.lit(fixed))).alias("bytes")).first()["bytes"] or 0
+    numbers = [8 * F.greatest(F.size(name), F.lit(0)) for name, kind in table.dtypes if kind == "array<double>"]
+    lengths = [F.coalesce(length, F.lit(0)) for length in texts + numbers]
+    measured = table.agg(F.sum(sum(lengths, F.lit(fixed)).cast("long")).alias("bytes")).first()["bytes"] or 0
     return measured <= limit
 
 
