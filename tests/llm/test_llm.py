@@ -495,6 +495,55 @@ def test_chat(spark, sf_dir):
     assert digests[-7]["loss_chars"] == len(said)
 
 
+def _expanded(rows):
+    """Brute force of the examples, ``(conversation, example): (turns in all, text, start and length of the loss)``."""
+    plain = lambda t: (t or "").replace("\\", "\\b").replace("#", "\\h").replace("<", "\\l")
+    out = {}
+    for conversation in {r[0] for r in rows}:
+        mine = sorted((r[1:] for r in rows if r[0] == conversation), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2] or ""))
+        formatted = ""
+        for i, (_, role, text) in enumerate(mine, 1):
+            formatted += "### " + plain(role).replace(":", "\\c") + ": " + plain(text) + "</turn>\n"
+            if role == "assistant" or i == len(mine):
+                loss = len(plain(text)) if role == "assistant" else 0
+                out[conversation, i] = (len(mine), formatted, len(formatted) - len("</turn>\n") - loss, loss)
+    return out
+
+
+@pytest.mark.parametrize("long", [1000, 12])
+def test_chat_slices_of_long_conversations(spark, sf_dir, monkeypatch, long):
+    monkeypatch.setattr(chat, "LONG", long)
+    monkeypatch.setattr(chat, "SLICE", 4)
+    draw = np.random.default_rng(6)
+    said = ["", None, "\\l <x>", "# a: b", "same", "\U0001f642 é", "long " * 50]
+    rows = [(c, None if i == 3 else i // 2, ["user", "assistant", None, "a:b"][i % 4], said[draw.integers(len(said))])
+            for c, n in ((1, 61), (2, 12), (3, 13), (4, 48), (None, 30), (5, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    df = df.withColumns({name: df["turn"] for name in ("_key", "n_turns", "_at", "_slice", "formatted", "_long")})
+    found = chat.expand(df.repartition(5)).collect()
+    made = {(r["conv_id"], r["example"]): (r["n_turns"], r["formatted"], r["loss_start"], r["loss_chars"]) for r in found}
+    assert len(made) == len(found) and made == _expanded(rows)
+
+
+def test_chat_query_against_brute_force(spark, sf_dir):
+    said = r"\### Assistant: </turn> ok"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    found = QUERIES["op9_chat_examples"](spark, sf_dir).collect()
+    assert {r["conv_id"] for r in found} == {r[0] for r in rows} and len(found) == len({r[0] for r in rows})
+    chars = {}
+    for (conversation, _), (_, formatted, _, _) in _expanded(rows).items():
+        chars[conversation] = chars.get(conversation, 0) + len(formatted)
+    for r in found:
+        mine = sorted((x[1:] for x in rows if x[0] == r["conv_id"]), key=lambda x: (x[0], x[1] or "", x[2] or ""))
+        loss = "".join(x[2] or "" for x in mine if x[1] == "assistant")
+        whole = "".join(f"{x[1] or ''}\n{x[2] or ''}\n" for x in mine)
+        assert (r["n_turns"], r["turns_sha256"]) == (len(mine), digest(whole))
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), digest(loss))
+        assert r["formatted_chars"] == chars[r["conv_id"]]
+
+
 def test_bpe(spark, sf_dir, texts, odd):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
