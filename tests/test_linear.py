@@ -233,3 +233,27 @@ def test_euclidean_silhouette(spark, monkeypatch):
     assert clusters.euclidean_silhouette(table, "k", "c", "v", rows=20).first()["n"] == 20
     one = clusters.euclidean_silhouette(table.where(F.col("c") == 0), "k", "c", "v").first()
     assert one["silhouette"] is None
+
+
+def test_gram_product_of_groups_and_parts(spark, dense, entries, keys):
+    x, _ = dense
+    matrix = blocks.block_matrix(entries, keys, width=100, block_entries=300)
+    place = {(r["i"], r["r"]): r["doc_id"] for r in matrix.rows.collect()}
+    sizes = Counter(i for i, _ in place)
+    factor = np.random.default_rng(1).normal(size=(len(x), 5))
+    stored = [(i, np.array([factor[place[i, r]] for r in range(n)]).tobytes()) for i, n in sizes.items()]
+    stored = spark.createDataFrame(stored, blocks.FACTOR)
+    for groups, parts in ((None, None), (2, 3), (5, 1)):
+        made = blocks.gram_times(matrix, stored, 5, groups, parts).collect()
+        assert sorted(r["b"] for r in made) == sorted(sizes)
+        for r in made:
+            for n, line in enumerate(np.frombuffer(r["m"]).reshape(-1, 5)):
+                assert np.allclose(line, x[place[r["b"], n]] @ (x.T @ factor))
+
+
+def test_a_range_of_columns_is_cut_by_its_entries(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "RANGE_ENTRIES", 100)
+    rows = [(i, f"t{j}", 1.0) for i in range(50) for j in range(12)]
+    dense_rows = materialise(spark.createDataFrame(rows, "doc_id int, term string, tfidf double"), "few_terms")
+    matrix = blocks.block_matrix(dense_rows, dense_rows.select("doc_id").distinct())
+    assert matrix.width == 2 and matrix.pieces.select("j").distinct().count() == 6
