@@ -257,3 +257,20 @@ def test_a_range_of_columns_is_cut_by_its_entries(spark, monkeypatch):
     dense_rows = materialise(spark.createDataFrame(rows, "doc_id int, term string, tfidf double"), "few_terms")
     matrix = blocks.block_matrix(dense_rows, dense_rows.select("doc_id").distinct())
     assert matrix.width == 2 and matrix.pieces.select("j").distinct().count() == 6
+
+
+def test_regression_forms_no_term_vector_before_the_end(dense, entries, keys, monkeypatch):
+    x, y = dense
+    sizes = []
+
+    def ended(matrix, factor, columns=1):
+        sizes.append(columns)
+        return blocks.transposed_times(matrix, factor, columns)
+
+    monkeypatch.setattr(regression, "transposed_times", ended)
+    matrix = blocks.block_matrix(entries, keys, width=256, block_entries=400)
+    model = regression.fit_term_regression(matrix, tol=1e-3)
+    assert sizes == [1] and len(model.history) > 3
+    assert model.history[-1][2] <= 1e-3 * model.history[0][2]
+    empty = regression.fit_term_regression(blocks.block_matrix(entries.limit(0), keys), max_iter=20)
+    assert empty.coefficients.count() == 0 and abs(1 / (1 + math.exp(-empty.intercept)) - y.mean()) < 1e-6
