@@ -146,6 +146,30 @@ def test_truncated_svd_matches_numpy(spark):
     assert np.linalg.norm(coords, axis=0) == pytest.approx(s[:2])
 
 
+def test_narrow_vectors_are_not_read_in_every_iteration(spark, monkeypatch):
+    """Sparse and dense rows in one pass over their column products, nothing persisted, all directions like NumPy's."""
+    import numpy as np
+
+    def stop(*args, **kwargs):
+        raise AssertionError("iterates over the rows")
+
+    monkeypatch.setattr(projection.IndexedRowMatrix, "computeSVD", stop)
+    monkeypatch.setattr(projection, "STRIPE", 64)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(400, 150)) * (rng.random((400, 150)) < 0.2) * np.linspace(3, 1, 150)
+    m[7] = 0
+    vectors = [
+        Vectors.dense(row) if i % 5 == 0 else Vectors.sparse(150, np.flatnonzero(row), row[np.flatnonzero(row)])
+        for i, row in enumerate(m)
+    ]
+    df = spark.createDataFrame(list(enumerate(vectors)), ["doc_id", "features"]).repartition(5)
+    got = {r["doc_id"]: r["coordinates"] for r in projection.truncated_svd(df, 20).collect()}
+    coords = np.array([got[i] for i in range(400)])
+    _, s, v = np.linalg.svd(m)
+    assert np.linalg.norm(coords, axis=0) == pytest.approx(s[:20])
+    assert np.abs(coords) == pytest.approx(np.abs(m @ v[:20].T), abs=1e-8)
+
+
 def test_preprocess_report_counts_missing_rows(spark):
     data = [(i, f"word{i % 3} claim", i % 2) for i in range(40)]
     data += [(40, None, 1), (41, "x", None), (42, "the of !!!", 0)]
