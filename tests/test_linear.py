@@ -235,6 +235,33 @@ def test_euclidean_silhouette(spark, monkeypatch):
     assert one["silhouette"] is None
 
 
+def test_silhouette_sends_a_vector_once_for_each_chunk(spark, monkeypatch):
+    """Chunks of several blocks with cut clusters and equal vectors; what is joined does not go by blocks."""
+    draw = np.random.default_rng(8)
+    points = np.round(draw.normal(size=(230, 3)), 1)
+    labels = draw.integers(0, 4, 230)
+    table = spark.createDataFrame([(i, f"c{c}", v.tolist()) for i, (c, v) in enumerate(zip(labels, points))], "k int, c string, v array<float>")
+    far = np.linalg.norm(points.astype("float32").astype(float)[:, None] - points.astype("float32"), axis=2)
+    sums = np.array([[far[i][labels == c].sum() for c in range(4)] for i in range(230)])
+    sizes = np.bincount(labels)
+    a = sums[np.arange(230), labels] / (sizes[labels] - 1)
+    means = sums / sizes
+    means[np.arange(230), labels] = np.inf
+    want = np.mean((means.min(axis=1) - a) / np.maximum(a, means.min(axis=1)))
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(clusters, "CHUNK_ROWS", 100)
+    stored, written = clusters.materialise, {}
+
+    def count(df, name):
+        written[name] = stored(df, name)
+        return written[name]
+
+    monkeypatch.setattr(clusters, "materialise", count)
+    found = clusters.euclidean_silhouette(table, "k", "c", "v", rows=None).first()
+    assert found["n"] == 230 and abs(found["silhouette"] - want) < 1e-6
+    assert written["vector_chunks"].count() <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_gram_product_of_groups_and_parts(spark, dense, entries, keys):
     x, _ = dense
     matrix = blocks.block_matrix(entries, keys, width=100, block_entries=300)

@@ -38,6 +38,7 @@ def adjusted_rand(df: DataFrame, label: str = "label", cluster: str = "cluster")
 
 
 BLOCK_ROWS = 1024  # vectors that are compared at once
+CHUNK_ROWS = 32 * BLOCK_ROWS  # vectors of one side of a pair of chunks, at most
 
 
 def euclidean_silhouette(
@@ -46,8 +47,9 @@ def euclidean_silhouette(
     """One row ``(n, silhouette)``: the mean silhouette by plain Euclidean distance.
 
     Every vector is compared with every other, so by default only the ``rows`` rows of least seeded hash take part;
-    with ``None`` all do. Vectors of a cluster are packed into blocks of about ``BLOCK_ROWS``; a task has one
-    pair of blocks and gives sums of distances per vector. A cluster of one counts 0. Rows without a
+    with ``None`` all do. Vectors are dealt to chunks, two for each core and of at most ``CHUNK_ROWS``; a vector is
+    sent once for each chunk, not for each block, and a task has whole pairs of chunks and gives sums of
+    distances per vector and cluster. A cluster of one counts 0. Rows without a
     vector or cluster are left out; with fewer than two clusters the value is null.
     """
     kept = df.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull()).select(
@@ -58,46 +60,65 @@ def euclidean_silhouette(
         kept = kept.orderBy(order, "_key").limit(rows)
     kept = materialise(kept.withColumn("row", F.monotonically_increasing_id()), "silhouette_rows")
     sizes = materialise(kept.groupBy("cluster").agg(F.count("*").alias("size")), "cluster_sizes")
-    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / F.lit(BLOCK_ROWS)))
-    packed = kept.join(sized(sizes), "cluster").groupBy("cluster", "size", part.alias("part")).agg(
-        F.collect_list("row").alias("rows"), F.collect_list("vector").alias("vectors")
-    )
-    blocks = materialise(packed.drop("part").withColumn("block", F.monotonically_increasing_id()), "vector_blocks")
-    ids = materialise(blocks.select("block").withColumn("all", F.lit(0)), "block_numbers")
-    pairs = ids.join(ids.withColumnRenamed("block", "other"), "all").select("block", "other")
-    right = blocks.select(
-        F.col("block").alias("other"), F.col("cluster").alias("o_cluster"), F.col("size").alias("o_size"),
-        F.col("vectors").alias("o_vectors"),
+    n_rows = kept.count()
+    chunks = max(1, -(-n_rows // CHUNK_ROWS), min(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n_rows // BLOCK_ROWS)))
+    packed = kept.groupBy(F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk")).agg(
+        F.collect_list("row").alias("rows"), F.collect_list("cluster").alias("clusters"),
+        F.collect_list("vector").alias("vectors"),
+    )
+    packed = materialise(packed, "vector_chunks")
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    left = packed.select(F.col("chunk").alias("left"), every.alias("right"), "rows", "clusters", "vectors")
+    right = packed.select(
+        F.col("chunk").alias("right"), every.alias("left"), F.col("rows").alias("o_rows"),
+        F.col("clusters").alias("o_clusters"), F.col("vectors").alias("o_vectors"),
     )
-    joined = pairs.join(blocks, "block").join(right, "other")
-    kinds = dict(blocks.dtypes)
+    tasks = max(1, chunks * chunks // 2)
+    joined = left.repartition(tasks, "left", "right").join(
+        right.repartition(tasks, "left", "right").hint("merge"), ["left", "right"]
+    )
+    step = BLOCK_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                matrix = lambda name: np.array(one.column(name)[0].values.flatten()).reshape(
-                    len(one.column(name)[0]), -1
-                )
-                a, b = matrix("vectors"), matrix("o_vectors")
-                squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
-                distances = np.sqrt(np.maximum(squares, 0))
-                if one.column("block")[0].as_py() == one.column("other")[0].as_py():
-                    np.fill_diagonal(distances, 0)
-                numbers = one.column("rows")[0].values
-                same = [len(numbers)]
-                repeat = lambda name: one.column(name).take(pa.array([0] * same[0]))
-                yield pa.RecordBatch.from_arrays(
-                    [numbers, *map(repeat, ("cluster", "size", "o_cluster", "o_size")), pa.array(distances.sum(axis=1))],
-                    names=["row", "cluster", "size", "o_cluster", "o_size", "total"],
-                )
+                cell = lambda name: batch.column(name)[i].values
+                matrix = lambda name: np.array(cell(name).flatten()).reshape(len(cell(name)), -1)
+                kinds = cell("o_clusters").dictionary_encode()
+                code = kinds.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                code, b = code[order], matrix("o_vectors")[order]
+                a, numbers, own = matrix("vectors"), cell("rows"), cell("clusters")
+                others = np.array(cell("o_rows"))[order]
+                b_squares = (b * b).sum(axis=1)
+                for low in range(0, len(a), step):
+                    some = a[low : low + step]
+                    mine = np.array(numbers[low : low + step])
+                    squares = (some * some).sum(axis=1)[:, None]
+                    totals = np.zeros((len(some), len(kinds.dictionary)))
+                    for at in range(0, len(b), step):
+                        distances = squares + b_squares[at : at + step] - 2 * some @ b[at : at + step].T
+                        distances = np.sqrt(np.maximum(distances, 0))
+                        if batch.column("left")[i] == batch.column("right")[i]:
+                            distances[mine[:, None] == others[at : at + step]] = 0
+                        found, starts = np.unique(code[at : at + step], return_index=True)
+                        totals[:, found] += np.add.reduceat(distances, starts, axis=1)
+                    each, width = np.arange(len(some)), totals.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.repeat(mine, width)),
+                            own[low : low + step].take(pa.array(np.repeat(each, width))),
+                            kinds.dictionary.take(pa.array(np.tile(np.arange(width), len(some)))),
+                            pa.array(totals.ravel()),
+                        ],
+                        names=["row", "cluster", "o_cluster", "total"],
+                    )
 
-    kind = kinds["cluster"]
-    sums = joined.select("block", "other", "rows", "vectors", "o_vectors", "cluster", "size", "o_cluster", "o_size")
-    sums = sums.mapInArrow(
-        run, f"row bigint, cluster {kind}, size bigint, o_cluster {kind}, o_size bigint, total double"
-    )
-    per = sums.groupBy("row", "cluster", "size", "o_cluster", "o_size").agg(F.sum("total").alias("total"))
+    kind = dict(kept.dtypes)["cluster"]
+    sums = joined.mapInArrow(run, f"row bigint, cluster {kind}, o_cluster {kind}, total double")
+    per = sums.groupBy("row", "cluster", "o_cluster").agg(F.sum("total").alias("total"))
+    o_sizes = sizes.select(F.col("cluster").alias("o_cluster"), F.col("size").alias("o_size"))
+    per = per.join(sized(sizes), "cluster").join(sized(o_sizes), "o_cluster")
     own = F.col("cluster") == F.col("o_cluster")
     each = per.groupBy("row").agg(
         F.max(F.when(own & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
