@@ -91,6 +91,28 @@ def test_sequence_model_search(spark, claims):
     assert final["test_auc"] == 1.0 and final["val_best_f1"] == 1.0
 
 
+def test_search_saves_its_models_and_learns_vectors_once(spark, claims, tmp_path, monkeypatch):
+    """Paths in the order of the trials, one set of word vectors a size, all of a size with equal ones; models like those fitted alone."""
+    rows = classifiers.sequence_input(splits.stratified_split(claims)).drop("text")
+    train, val = (rows.where(F.col("split") == s).cache() for s in ("train", "val"))
+    learnt, fit = [], classifiers.Word2Vec._fit
+    monkeypatch.setattr(classifiers.Word2Vec, "_fit", lambda self, df: learnt.append(self.getVectorSize()) or fit(self, df))
+    space = {"hashed_width": [64, 128], "max_iter": [5], "vector_size": [3, 4]}
+    results, paths = tuning.search(train, val, space, "grid", 4, parallelism=1, folder=f"file://{tmp_path}/trials")
+    assert sorted(learnt) == [3, 4] and len(paths) == 4 and all(isinstance(p, str) for p in paths)
+    held: dict[int, list] = {}
+    for row, path in zip(results.orderBy("trial").collect(), paths, strict=True):
+        model = PipelineModel.load(path)
+        assert model.stages[1].getVectorSize() == row["vector_size"]
+        assert model.stages[4].getNumFeatures() == row["hashed_width"]
+        vectors = {r["word"]: tuple(r["vector"]) for r in model.stages[1].getVectors().collect()}
+        assert held.setdefault(row["vector_size"], vectors) == vectors
+        alone = classifiers.fit_sequence_model(train, row["vector_size"], row["hashed_width"], max_iter=5)
+        got, want = ({r["doc_id"]: r["prob"] for r in evaluation.score(m, val).collect()} for m in (model, alone))
+        assert got == pytest.approx(want, abs=0.02)  # vectors differ a little from fit to fit
+    assert tuning.best_model(results, paths) in paths
+
+
 def test_draws(spark):
     space = {"a": [1, 2], "b": ["x", "y"]}
     assert tuning.draw_trials(spark, space, "grid", 3, 0) == [
