@@ -235,6 +235,25 @@ def test_euclidean_silhouette(spark, monkeypatch):
     assert one["silhouette"] is None
 
 
+def test_words_of_a_pair_are_not_shuffled_beside_it(spark, monkeypatch):
+    """The join on pairs gets the pair alone; the words are cut out behind it, and scores need no table to be small."""
+    rows = [(i, ["a", "b", "cc", "a"][: i % 5] + ["d"] * (i % 3), i % 2) for i in range(20)]
+    rows = spark.createDataFrame(rows, "doc_id long, words array<string>, label int")
+    model = sequence.fit_pair_model(rows)
+    want = {r["doc_id"]: r["llr"] for r in sequence.score_pairs(rows, model, []).collect()}
+    join, seen = sequence.lookup_join, {}
+
+    def watch(each, table, name, *rest):
+        seen[name] = set(each.columns)
+        return join(each, table, name, *rest)
+
+    monkeypatch.setattr(sequence, "lookup_join", watch)
+    monkeypatch.setattr("textassay.session.BROADCAST_BYTES", 1)
+    got = {r["doc_id"]: r["llr"] for r in sequence.score_pairs(rows, model, []).collect()}
+    assert got == pytest.approx(want) and len(got) == 20
+    assert seen["pair"] == {"doc_id", "pair", "n"} and "pair" not in seen["v"] | seen["w"]
+
+
 def test_silhouette_sends_a_vector_once_for_each_chunk(spark, monkeypatch):
     """Chunks of several blocks with cut clusters and equal vectors; what is joined does not go by blocks."""
     draw = np.random.default_rng(8)

@@ -110,12 +110,12 @@ def score_pairs(rows: DataFrame, model: PairModel, keep: list[str], words: str =
     """
     totals = model.totals.first().asDict()
     each = pair_counts(rows, [key, *keep], words)
-    each = each.withColumns({"v": _first(F.col("pair")), "w": _second(F.col("pair"))})
     heavy = lambda t, name, weight: hot_keys(t.withColumn("_weight", weight), name, "_weight")
     both = lambda name: F.col(f"{name}0") + F.col(f"{name}1")
-    for table, name, weight in (
-        (model.pairs, "pair", both("c")), (model.contexts, "v", both("n")), (model.endings, "w", both("k")),
-    ):
+    each = lookup_join(each, model.pairs, "pair", key, "left", heavy(model.pairs, "pair", both("c")))
+    # the words of a pair are cut out behind the join, which would shuffle them beside it
+    each = each.withColumns({"v": _first(F.col("pair")), "w": _second(F.col("pair"))}).drop("pair")
+    for table, name, weight in ((model.contexts, "v", both("n")), (model.endings, "w", both("k"))):
         each = lookup_join(each, table, name, key, "left", heavy(table, name, weight))
     ratio = log_likelihood(1, totals) - log_likelihood(0, totals)
     summed = each.groupBy(key, *keep).agg(
