@@ -139,3 +139,13 @@ def latin_again(line):
             return line
         line = again
     return line
+
+
+def test_composition_is_looked_for_behind_one_range(spark):
+    """The long class is not tried on characters below U+0300, none of which composition changes."""
+    found = tx._not_composed()
+    assert found.startswith(r"(?=[\x{300}-\x{10ffff}])")
+    texts = ["plain", "caf\u00e9 \u02ff", "\u2019s", "e\u0301", "\u0300", "\u212b", "\u1160", "\U0001d15e", "\uac00"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = [r[0] for r in df.orderBy("k").select(F.col("t").rlike(found)).collect()]
+    assert got == [False, False, False, True, True, True, True, True, False]
