@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from textassay.operators import splits, tfidf
@@ -205,3 +206,26 @@ def test_preprocess_report_counts_missing_rows(spark):
     assert len(seqs) == 40 and all(len(s["seq"]) == 4 for s in seqs)
     flipped = {s["doc_id"]: s["label"] for s in seqs}
     assert flipped[0] == 1 and flipped[1] == 0
+
+
+def test_forests_share_the_cores(spark, monkeypatch):
+    """A pass over many partitions costs as many times the statistics of its nodes."""
+    rows = spark.range(0, 200, 1, 40).selectExpr(
+        "id AS doc_id", "CAST(id % 2 AS INT) AS label", "CAST(id % 5 AS INT) AS fold", "CAST(id % 2 + 1 AS INT) AS step"
+    )
+    assert classifiers.tree_rows(rows, 200, 4096).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert classifiers.tree_rows(rows, 200, 4096, fits=8).rdd.getNumPartitions() == 2
+    assert classifiers.tree_rows(rows, 20 * 32768, 4096).rdd.getNumPartitions() == 20
+    assert classifiers.tree_rows(rows, 200, 4096).count() == 200
+
+    seen = []
+
+    class Watched(type(classifiers.logistic_regression(80))):
+        def _fit(self, df):
+            seen.append((df.rdd.getNumPartitions(), df.count()))
+            return super()._fit(df)
+
+    features = VectorAssembler(inputCols=["doc_id"], outputCol="features").transform(rows)
+    curve = tuning.learning_curve(features, Watched(maxIter=2), 5, 2, parallelism=4, width=4096)
+    assert curve.count() == 2
+    assert {n for n, _ in seen} == {2} and sorted(n for _, n in seen) == [80] * 5 + [160] * 5
