@@ -213,10 +213,11 @@ def test_forests_share_the_cores(spark, monkeypatch):
     rows = spark.range(0, 200, 1, 40).selectExpr(
         "id AS doc_id", "CAST(id % 2 AS INT) AS label", "CAST(id % 5 AS INT) AS fold", "CAST(id % 2 + 1 AS INT) AS step"
     )
-    assert classifiers.tree_rows(rows, 200, 4096).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert classifiers.tree_rows(rows, 200, 4096, fits=8).rdd.getNumPartitions() == 2
+    assert classifiers.tree_rows(rows, 20_000, 4096).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert classifiers.tree_rows(rows, 20_000, 4096, fits=8).rdd.getNumPartitions() == 2
     assert classifiers.tree_rows(rows, 20 * 32768, 4096).rdd.getNumPartitions() == 20
-    assert classifiers.tree_rows(rows, 200, 4096).count() == 200
+    assert classifiers.tree_rows(rows, 200, 4096).rdd.getNumPartitions() == 40  # few rows stay where they are
+    assert classifiers.tree_rows(rows, 20_000, 4096).count() == 200
 
     seen = []
 
@@ -226,6 +227,6 @@ def test_forests_share_the_cores(spark, monkeypatch):
             return super()._fit(df)
 
     features = VectorAssembler(inputCols=["doc_id"], outputCol="features").transform(rows)
-    curve = tuning.learning_curve(features, Watched(maxIter=2), 5, 2, parallelism=4, width=4096)
+    curve = tuning.learning_curve(features, Watched(maxIter=2), 5, 2, parallelism=4, width=1 << 20)
     assert curve.count() == 2
     assert {n for n, _ in seen} == {2} and sorted(n for _, n in seen) == [80] * 5 + [160] * 5
