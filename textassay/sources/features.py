@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textassay.operators.splits import SPLITS
+from textassay.session import cleaned_shuffles
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -13,7 +14,8 @@ def write_features(df: DataFrame, path: str) -> None:
 
     The label is a column of the same row; there is no second file to align.
     """
-    df.write.mode("overwrite").partitionBy("split").parquet(path)
+    with cleaned_shuffles(df.sparkSession):
+        df.write.mode("overwrite").partitionBy("split").parquet(path, compression="zstd")
 
 
 def load_features(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
