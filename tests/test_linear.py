@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from textassay.operators import blocks, clusters, selection, tfidf
 from textassay.plans import regression, sequence, svd
 from textassay.plans.features import selected_vectors
-from textassay.session import materialise, scratch_path
+from textassay.session import discard, materialise, scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -320,3 +321,38 @@ def test_regression_forms_no_term_vector_before_the_end(dense, entries, keys, mo
     assert model.history[-1][2] <= 1e-3 * model.history[0][2]
     empty = regression.fit_term_regression(blocks.block_matrix(entries.limit(0), keys), max_iter=20)
     assert empty.coefficients.count() == 0 and abs(1 / (1 + math.exp(-empty.intercept)) - y.mean()) < 1e-6
+
+
+def test_matrix_of_odd_keys(spark, monkeypatch):
+    """Repeated, null and unknown keys in small chunks and many parts; terms of one entry left out; no table in between stays."""
+    monkeypatch.setattr(blocks, "DEALT_ROWS", 7)
+    monkeypatch.setattr(blocks, "PART_ENTRIES", 5)
+    rows = [(k, f"t{j}", 1.0 + j + (k or 0) / 8) for k in (0, 1, 1, 2, None, 9) for j in range(6) if (k or 0) <= j] + [(2, "once", 3.0)]
+    table = materialise(spark.createDataFrame(rows, "doc_id int, term string, tfidf double"), "odd")
+    keys = spark.createDataFrame([(0,), (1,), (1,), (2,), (3,), (None,)], "doc_id int")
+    made = []
+    monkeypatch.setattr(blocks, "discard", lambda stored: (made.extend(stored.inputFiles()), discard(stored)))
+    matrix = blocks.block_matrix(table, keys, least=2, width=2, block_entries=600)
+    df = Counter(t for _, t, _ in rows)
+    columns = {r["col"]: (r["term"], r["df"]) for r in matrix.columns.collect()}
+    assert sorted(columns) == list(range(6)) and dict(columns.values()) == {t: n for t, n in df.items() if n > 1}
+    place = {(r["i"], r["r"]): r["doc_id"] for r in matrix.rows.collect()}
+    assert len(place) == 6
+    found = Counter()
+    for p in matrix.pieces.collect():
+        assert p["n"] == sum(i == p["i"] for i, _ in place)
+        found.update((place[p["i"], r], columns[p["j"] * 2 + c][0], v) for r, c, v in zip(p["r"], p["c"], p["v"]))
+    copies = Counter(k for k, in [(0,), (1,), (1,), (2,), (3,)])
+    assert found == Counter({(k, t, v): n * copies[k] for (k, t, v), n in Counter(rows).items() if copies[k] and df[t] > 1})
+    assert made and not any(os.path.exists(name.removeprefix("file:").replace("///", "/")) for name in made)
+
+
+def test_spent_entries_are_removed(spark, dense, keys):
+    x, _ = dense
+    rows = [(i, f"t{j}", float(x[i, j])) for i in range(40) for j in np.flatnonzero(x[i])]
+    stored = materialise(spark.createDataFrame(rows, "doc_id bigint, term string, tfidf double"), "spent")
+    files = [name.removeprefix("file:").replace("///", "/") for name in stored.inputFiles()]
+    assert all(map(os.path.exists, files))
+    found = svd.term_svd(stored, keys.where("doc_id < 40"), k=3, spent=True)
+    assert found.coordinates.count() == 40 and not any(map(os.path.exists, files))
+    assert np.allclose(found.values, np.linalg.svd(x[:40], compute_uv=False)[:3], rtol=1e-3)
